@@ -189,3 +189,28 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
 def identify(docs: DataFrame, max_train_docs: int = MAX_TRAIN_DOCS) -> DataFrame:
     """Fit on the labelled rows that are not held out, then predict every row."""
     return predict(docs, fit(docs, max_train_docs))
+
+
+MIN_SCORE = 0.5  # below it no language is likelier than all others together
+
+
+def keep_known(docs: DataFrame, min_score: float = MIN_SCORE, max_train_docs: int = MAX_TRAIN_DOCS) -> DataFrame:
+    """The rows of ``docs``, all their columns as they are, whose text has a recognised language.
+
+    Rows without letters and rows whose best language scores below ``min_score`` go. Where nothing
+    is labelled there is no model to judge by, and all rows with a letter stay.
+    """
+    model = fit(docs, max_train_docs)
+    shipped = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shipped.value)
+        for b in batches:
+            texts = (t.as_py() for t in b.column("text"))
+            if not scorer.langs:
+                keep = [any(map(str.isalpha, t or "")) for t in texts]
+            else:
+                keep = [lang != "und" and score >= min_score for lang, score in map(scorer.score, texts)]
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
