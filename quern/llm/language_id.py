@@ -28,11 +28,11 @@ from quern.llm.common import Scratch
 LETTERS = re.compile(r"[^\W\d_]+")
 MAX_TRAIN_DOCS = 10_000  # bound of the labelled sample, drawn by a hash of doc_id
 MAX_LANGS = 256
-MAX_WORDS = 150_000  # bound of the model: its most frequent words
-MAX_GRAMS = 150_000  # and n-grams
+MAX_WORDS = 80_000  # bound of the model: its most frequent words
+MAX_GRAMS = 80_000  # and n-grams
 SIZES = (5, 4, 3, 2, 1)
 EVIDENCE_WORDS = 30  # words of evidence at which the score saturates
-CACHE = 200_000  # unseen words that a worker remembers
+CACHE = 150_000  # unseen words that a worker remembers
 
 
 def letters_of(text: str | None) -> list[str]:
@@ -94,21 +94,21 @@ def fit(docs: DataFrame, max_train_docs: int = MAX_TRAIN_DOCS) -> dict:
     model: dict = {"langs": order, "docs": [langs[v] for v in order], "rows": {}, "table": np.empty((0, len(order)), np.float32)}
     if not order:
         return model
-    sized = counted.where("size >= 0 and n > 0").groupBy((F.col("size") == 0).alias("word"), "size", "gram").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
-    picked = [sized.where("word" if w else "not word").orderBy(F.desc("all"), "size", "gram").limit(most).select("size", "gram", "by").collect() for w, most in ((True, MAX_WORDS), (False, MAX_GRAMS))]
+    sized = counted.where("size >= 0 and n > 0").groupBy((F.col("size") == 0).alias("word"), "size", "gram").agg(F.sum("n").alias("all"), F.collect_list("lang").alias("langs"), F.collect_list("n").alias("counts"))
+    picked = [sized.where("word" if w else "not word").orderBy(F.desc("all"), "size", "gram").limit(most).select("size", "gram", "langs", "counts").toArrow() for w, most in ((True, MAX_WORDS), (False, MAX_GRAMS))]
     scratch.drop(counted)
-    rows = [r for part in picked for r in part]
+    rows = pa.concat_tables(picked)
+    langs_of, counts_of = rows["langs"].combine_chunks(), rows["counts"].combine_chunks()
+    row = np.repeat(np.arange(len(rows)), langs_of.value_lengths().to_numpy())
+    column = np.array([at.get(v, -1) for v in langs_of.flatten().to_pylist()], int)
     counts = np.zeros((len(rows), len(order)))
-    sizes = np.array([r["size"] for r in rows])
-    for i, r in enumerate(rows):
-        for lang, n in r["by"].items():
-            if lang in at:
-                counts[i, at[lang]] = n
+    np.add.at(counts, (row[column >= 0], column[column >= 0]), counts_of.flatten().to_numpy()[column >= 0])
+    sizes, names = rows["size"].to_numpy(), rows["gram"].to_pylist()
     table = np.zeros_like(counts)
     for size in set(sizes.tolist()):
         of = sizes == size
         table[of] = np.log((counts[of] + 0.05) / (counts[of].sum(0) + 0.05 * (of.sum() + 1)))
-    model["rows"] = {(r["size"], r["gram"]): i for i, r in enumerate(rows)}
+    model["rows"] = {key: i for i, key in enumerate(zip(sizes.tolist(), names))}
     model["table"] = table.astype(np.float32)
     return model
 
