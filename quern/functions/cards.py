@@ -125,7 +125,7 @@ def percentage(query: str) -> dict | None:
             q = q[len(prefix) :].strip()
             break
     n = format_number
-    of = q.split("%", 1) if "%" in q else q.split(" percent of ", 1)
+    of = q.split("%", 1) if "%" in q else [] if " is what percent of " in q else q.split(" percent of ", 1)
     if len(of) == 2:
         right = of[1].strip()
         if "%" in q:

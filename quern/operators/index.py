@@ -72,7 +72,8 @@ def analyzed(docs: DataFrame, stemmed: bool = False) -> DataFrame:
 
 
 def postings_of(analyzed_docs: DataFrame) -> DataFrame:
-    rows = analyzed_docs.select("doc_id", F.explode("placed").alias("p")).select("doc_id", "p.term", "p.pos", "p.title")
+    # The outer form keeps Spark from testing the array's size beforehand, which would build it twice.
+    rows = analyzed_docs.select("doc_id", F.explode_outer("placed").alias("p")).select("doc_id", "p.term", "p.pos", "p.title").where("term is not null")
     count = lambda c: F.count_if(c).cast("int")
     return rows.groupBy("term", "doc_id").agg(count(F.col("title")).alias("tf_title"), count(~F.col("title")).alias("tf_body"), F.array_sort(F.collect_list("pos")).alias("positions"))
 

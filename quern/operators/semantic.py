@@ -50,7 +50,7 @@ def hash_embedder(dim: int = DIM, stemmed: bool = True) -> Callable[[pd.Series],
 
 def passages(docs: DataFrame, words_per: int = 150, most: int = 6, overlap: int = 0) -> DataFrame:
     """doc_id, passage_idx, title, text."""
-    return docs.select("doc_id", "title", F.posexplode(T.passages(F.col("text"), words_per, most, overlap)).alias("passage_idx", "text"))
+    return docs.select("doc_id", "title", F.posexplode_outer(T.passages(F.col("text"), words_per, most, overlap)).alias("passage_idx", "text")).where("text is not null")
 
 
 def embedded(passages_: DataFrame, embedder: Callable[[pd.Series], pd.Series]) -> DataFrame:

@@ -14,7 +14,7 @@ SUGGESTIONS, SESSION_QUERIES = 8, 512
 
 def spell_words(docs: DataFrame) -> DataFrame:
     """term, weight: title tokens count 3, url tokens 1; three bytes or more, no stop words."""
-    part = lambda c, w: docs.select(F.explode(tokenize(F.col(c))).alias("term"), F.lit(w).alias("w"))
+    part = lambda c, w: docs.select(F.explode_outer(tokenize(F.col(c))).alias("term"), F.lit(w).alias("w"))
     rows = part("title", 3).unionByName(part("url", 1)).where((F.octet_length("term") >= 3) & ~is_stop_word(F.col("term")))
     return rows.groupBy("term").agg(F.sum("w").alias("weight"))
 
@@ -57,7 +57,7 @@ def correct(queries: DataFrame, words: DataFrame) -> DataFrame:
 
 def title_words(docs: DataFrame) -> DataFrame:
     """word: title tokens of two bytes or more, no stop words."""
-    return docs.select(F.explode(tokenize(F.col("title"))).alias("word")).where((F.octet_length("word") >= 2) & ~is_stop_word(F.col("word"))).distinct()
+    return docs.select(F.explode_outer(tokenize(F.col("title"))).alias("word")).where((F.octet_length("word") >= 2) & ~is_stop_word(F.col("word"))).distinct()
 
 
 def title_phrases(docs: DataFrame) -> DataFrame:
@@ -100,7 +100,7 @@ def complete(prefixes: DataFrame, words: DataFrame, phrases: DataFrame, session:
 def related_tokens(hits: DataFrame, queries: DataFrame, top: int = 8) -> DataFrame:
     """query_id, token, n: tokens of the first hits' titles that the query lacks; three bytes or more."""
     asked = queries.select("query_id", tokenize(F.col("q")).alias("have"))
-    rows = hits.where(F.col("rank") <= top).select("query_id", F.explode(tokenize(F.col("title"))).alias("token")).join(asked, "query_id")
+    rows = hits.where(F.col("rank") <= top).select("query_id", F.explode_outer(tokenize(F.col("title"))).alias("token")).join(asked, "query_id")
     kept = rows.where((F.octet_length("token") >= 3) & ~is_stop_word(F.col("token")) & ~F.array_contains("have", F.col("token")))
     return kept.groupBy("query_id", "token").agg(F.count("*").alias("n"))
 
