@@ -17,3 +17,18 @@ def local_session(cores: int | str = "*", memory: str = "8g", partitions: int =
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python, once a session; they may run from any folder."""
+    sc = spark.sparkContext
+    if getattr(sc, "_quern_shipped", False):
+        return
+    import shutil
+    import tempfile
+    from pathlib import Path
+
+    package = Path(__file__).parent
+    archive = shutil.make_archive(f"{tempfile.mkdtemp()}/quern", "zip", package.parent, package.name)
+    sc.addPyFile(archive)
+    sc._quern_shipped = True

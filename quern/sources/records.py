@@ -16,7 +16,7 @@ def _header(head: Column, key: str) -> Column:
 
 def _headers(head: Column, key: str) -> Column:
     found = F.regexp_extract_all(head, F.lit(rf"(?im)^[ \t]*{key}[ \t]*:(.*)$"), F.lit(1))
-    return F.when(F.size(found) > 0, F.transform(found, F.trim))
+    return F.when(F.size(found) > 0, F.transform(found, lambda x: F.trim(x)))
 
 
 def parse_records(raw: DataFrame, value: str = "value") -> DataFrame:
@@ -32,7 +32,7 @@ def parse_records(raw: DataFrame, value: str = "value") -> DataFrame:
     url = F.coalesce(_header(head, "url"), F.lit(""))
     links = F.filter(F.coalesce(_headers(head, "links?"), none), lambda x: x != "")
     title = F.coalesce(F.nullif(_header(head, "title"), F.lit("")), url)
-    rows = raw.select(url.alias("url"), title.alias("title"), F.trim(body).alias("text"), links.alias("links"), F.filter(pictures, lambda p: p["url"] != "").alias("images"), dates.parse_published(F.coalesce(_header(head, "published"), F.lit(""))).alias("published"))
+    rows = raw.select(url.alias("url"), title.alias("title"), F.regexp_replace(body, r"^\s+|\s+$", "").alias("text"), links.alias("links"), F.filter(pictures, lambda p: p["url"] != "").alias("images"), dates.parse_published(F.coalesce(_header(head, "published"), F.lit(""))).alias("published"))
     return rows.where("url <> ''")
 
 
@@ -90,5 +90,5 @@ def weather(files: DataFrame, value: str = "value") -> DataFrame:
     column = lambda name: F.coalesce(F.trim(F.try_element_at(F.regexp_extract_all("block", F.lit(rf"(?im)^[ \t]*(?:{'|'.join(k for k, v in WEATHER_KEYS.items() if v == name)})[ \t]*:(.*)$"), F.lit(1)), F.lit(-1))), F.lit(""))
     names = list(dict.fromkeys(WEATHER_KEYS.values()))
     rows = blocks.select("record_id", *(column(n).alias(n) for n in names))
-    aliases = F.filter(F.transform(F.split("aliases", ","), F.trim), lambda x: x != "")
+    aliases = F.filter(F.transform(F.split("aliases", ","), lambda x: F.trim(x)), lambda x: x != "")
     return rows.withColumn("aliases", aliases).where("location <> '' and temperature <> ''")
