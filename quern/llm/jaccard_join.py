@@ -36,7 +36,9 @@ def bands_for(threshold: float, recall: float = RECALL, most: int = MOST_HASHES)
     """(bands, rows): the most rows whose bands still find a pair at ``threshold`` with ``recall``."""
     best = (most, 1)
     for rows in range(1, most + 1):
-        bands = math.ceil(math.log(1 - recall) / math.log(1 - threshold**rows)) if threshold < 1 else 1
+        if threshold**rows < 1e-9:
+            break
+        bands = math.ceil(math.log(1 - recall) / math.log1p(-(threshold**rows))) if threshold < 1 else 1
         if bands * rows <= most:
             best = (bands, rows)
     return best
