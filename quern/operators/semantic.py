@@ -80,6 +80,42 @@ def similarities(query_vectors: DataFrame, vectors: DataFrame) -> DataFrame:
     return pairs.select("query_id", "doc_id", "passage_idx", dot(F.col("embedding"), F.col("qv")).alias("sim"))
 
 
+MOST_SHIPPED = 8 << 20  # numbers in the query matrix that is sent to the workers
+
+
+def pooled(query_vectors: DataFrame, vectors: DataFrame, floor: float = 0.0) -> DataFrame:
+    """``max_pooled`` of the similarities above ``floor``, by matrix products.
+
+    The query matrix is sent to the workers if it holds MOST_SHIPPED numbers at most, and vectors
+    stream past it; a document's passages are pooled where they meet. Larger query sets are joined.
+    """
+    size = query_vectors.agg(F.sum(F.size("qv").cast("long")), F.max(F.size("qv"))).first()
+    if not size[0] or size[0] > MOST_SHIPPED:
+        return max_pooled(similarities(query_vectors, vectors)).where(F.col("score") > floor)
+    rows = query_vectors.select("query_id", "qv").where(F.size("qv") == size[1]).collect()
+    ids, matrix = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64).T
+
+    def run(batches):
+        for b in batches:
+            b = b[b["embedding"].map(len) == len(matrix)]
+            if not len(b):
+                continue
+            b = b.sort_values(["doc_id", "passage_idx"], kind="stable")
+            doc, first = np.unique(b["doc_id"].to_numpy(), return_index=True)
+            ends = [*first[1:], len(b)]
+            sims = np.stack(b["embedding"].to_numpy()).astype(np.float64) @ matrix
+            best = np.maximum.reduceat(sims, first, axis=0)
+            d, q = np.nonzero(best > floor)
+            places = b["passage_idx"].to_numpy()
+            last = np.empty(best.shape, np.int64)
+            for i, (lo, hi) in enumerate(zip(first, ends)):
+                last[i] = places[hi - 1 - np.argmax(sims[lo:hi][::-1], axis=0)]
+            yield pd.DataFrame({"query_id": ids[q], "doc_id": doc[d], "sim": best[d, q], "passage_idx": last[d, q]})
+
+    parts = vectors.select("doc_id", "passage_idx", "embedding").mapInPandas(run, "query_id long, doc_id long, sim double, passage_idx long")
+    return max_pooled(parts)
+
+
 def max_pooled(sims: DataFrame) -> DataFrame:
     """query_id, doc_id, score (best passage), passage_idx; the last of equal passages."""
     best = sims.groupBy("query_id", "doc_id").agg(F.max(F.struct("sim", "passage_idx")).alias("x"))
