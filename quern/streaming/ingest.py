@@ -54,7 +54,7 @@ def _table(spark: SparkSession, root: str, name: str) -> DataFrame | None:
 
 def ingest_stream(spark: SparkSession, folder: str, root: str, checkpoint: str, stemmed: bool = False, once: bool = True):
     """Watch ``folder`` for record files and ingest them; with ``once``, what is there now, then stop."""
-    files = spark.readStream.schema(RECORD_FILES).option("wholetext", True).text(folder)
+    files = spark.readStream.schema(RECORD_FILES).text(folder, wholetext=True)
     writer = parse_records(files).writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, i: ingest_batch(df.sparkSession, root, df, i, stemmed) and None)
     return (writer.trigger(availableNow=True) if once else writer).start()
 

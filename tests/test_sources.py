@@ -68,7 +68,7 @@ def test_stream_ingest_skips_known_urls_and_repeated_batches(spark, tmp_path):
 
 def test_pagerank(spark):
     nodes = spark.range(3).withColumnRenamed("id", "doc_id")
-    ranks = {r.doc_id: r.rank for r in links.pagerank(nodes, spark.createDataFrame([(0, 2), (1, 2), (2, 0)], "src long, dst long"), rounds=6).collect()}
+    ranks = {r.doc_id: r.rank for r in links.pagerank(nodes, spark.createDataFrame([(0, 2), (1, 2), (2, 0)], "src long, dst long")).collect()}
     assert ranks[2] > ranks[0] > ranks[1] and abs(sum(ranks.values()) - 1) < 1e-9
 
 
