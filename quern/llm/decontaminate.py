@@ -3,7 +3,8 @@
 An item of n words is looked for in all windows of n words of every whole text, in three steps:
 
 1. A window that reaches the similarity shares most of its five-word shingles with the item, so
-   windows with fewer shingles of the benchmark than that are passed over (this loses nothing).
+   windows with fewer shingles of the benchmark than that are passed over (this loses nothing, and
+   needs only the numbers of the benchmark's own words).
 2. The SimHash of a window, summed from its shingles with their repeats as weights, is looked up among
    the items of that size. The 64 bits are cut into BLOCKS blocks; two fingerprints within RADIUS
    differ by at most RADIUS // BLOCKS bits in some block, so trying these variants of each block
@@ -23,7 +24,7 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +54,15 @@ def fingerprints(sums: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
     return np.packbits(sums[starts + n] - sums[starts] > 0, axis=1, bitorder="little").view("<u8").ravel()
 
 
+def run_keys(ids: np.ndarray, k: int) -> np.ndarray:
+    """64-bit keys of the runs of ``k`` word numbers; equal runs have equal keys."""
+    out = ids[: len(ids) - k + 1]
+    for j in range(1, k):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + ids[j : len(ids) - k + 1 + j]
+    out = out * np.uint64(0xD6E8FEB86659FD93)
+    return out ^ (out >> np.uint64(31))
+
+
 def similarity(a: Counter, b: Counter) -> float:
     """Weighted Jaccard similarity of two bags of shingles."""
     least = sum(min(n, b[s]) for s, n in a.items() if s in b)
@@ -66,61 +76,77 @@ class Index:
         self.threshold = threshold
         ids = WordIds()
         self.items, self.sizes = [], defaultdict(list)
+        self.vocabulary: dict[str, int] = {}
+        keys: dict[int, list[np.ndarray]] = defaultdict(list)  # by words in a shingle
         for item_id, text in items:
             words = words_of(text)
             if words:
                 s = shingle_hashes(words, ids, K)
                 self.sizes[len(words)].append(len(self.items))
                 self.items.append((item_id, Counter(s.tolist()), fingerprints(sign_sums(s), np.zeros(1, np.int64), len(s))[0]))
-        self.lists: dict = {}
+                own = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], np.uint64)
+                keys[min(K, len(words))].append(run_keys(own, min(K, len(words))))
+        # For each size, block and byte: a bit set of the members with a byte within RADIUS // BLOCKS bits.
+        self.prints = {size: np.array([self.items[m][2] for m in members], np.uint64) for size, members in self.sizes.items()}
+        self.tables = {}
         for size, members in self.sizes.items():
-            for m in members:
+            table = np.zeros((BLOCKS, 256, -(-len(members) // 64)), np.uint64)
+            for i, m in enumerate(members):
                 for b in range(BLOCKS):
-                    self.lists.setdefault((size, b, int(self.items[m][2]) >> (8 * b) & 255), []).append(m)
-        self.known: dict[int, np.ndarray] = {}  # shingles by words in a shingle
-        self.maybe: dict[int, np.ndarray] = {}
-        for k in {min(K, size) for size in self.sizes}:
-            found = np.unique(np.array([s for size, members in self.sizes.items() if min(K, size) == k for m in members for s in self.items[m][1]], np.uint64))
-            self.known[k] = found
-            self.maybe[k] = np.zeros(1 << 22, bool)
+                    own = int(self.items[m][2]) >> (8 * b) & 255
+                    table[b, [own ^ mask for mask in MASKS], i // 64] |= np.uint64(1 << i % 64)
+            self.tables[size] = table
+        self.known = {k: np.unique(np.concatenate(x)) for k, x in keys.items()}
+        self.maybe = {k: np.zeros(1 << 22, bool) for k in self.known}
+        for k, found in self.known.items():
             self.maybe[k][found >> np.uint64(42)] = True
 
-    def near(self, size: int, print_: int) -> list[int]:
-        """The items of ``size`` words within RADIUS of a fingerprint."""
-        tried = {m for b in range(BLOCKS) for mask in MASKS for m in self.lists.get((size, b, (print_ >> (8 * b) & 255) ^ mask), ())}
-        return [m for m in tried if (int(self.items[m][2]) ^ print_).bit_count() <= RADIUS]
+    def near(self, size: int, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window, member) of the fingerprints that lie within RADIUS of an item of ``size`` words."""
+        table, parts = self.tables[size], prints.view(np.uint8).reshape(-1, BLOCKS)
+        able = table[0, parts[:, 0]]
+        for b in range(1, BLOCKS):
+            able = able | table[b, parts[:, b]]
+        w, m = np.nonzero(np.unpackbits(able.view(np.uint8), axis=1, bitorder="little"))
+        close = np.bitwise_count(prints[w] ^ self.prints[size][m]) <= RADIUS
+        return w[close], m[close]
 
     def search(self, words: list[str], ids: WordIds) -> dict[int, float]:
         """Best similarity of each item that a window of ``words`` reaches."""
         best: dict[int, float] = {}
+        placed = np.fromiter(map(self.vocabulary.get, words, repeat(0)), np.uint64, len(words))
         for k, known in self.known.items():
             if len(words) < k:
                 continue
-            s = shingle_hashes(words, ids, k)
-            hit = self.maybe[k][s >> np.uint64(42)]
-            at = np.nonzero(hit)[0]
-            at = at[np.isin(s[at], known)]
+            keys = run_keys(placed, k)
+            at = np.nonzero(self.maybe[k][keys >> np.uint64(42)])[0]
+            at = at[known[np.minimum(np.searchsorted(known, keys[at]), len(known) - 1)] == keys[at]]
             if not len(at):
                 continue
-            hit = np.zeros(len(s) + 1, np.int32)
+            hit = np.zeros(len(keys) + 1, np.int32)
             hit[at + 1] = 1
             shared = np.cumsum(hit)
-            sums = None
+            s = sums = None
             for size in self.sizes:
                 n = size - k + 1
-                if min(K, size) != k or n > len(s):
+                if min(K, size) != k or n > len(keys):
                     continue
                 least = int(np.ceil(2 * n * self.threshold / (1 + self.threshold) - 1e-9))
-                starts = np.nonzero(shared[n:] - shared[: len(s) - n + 1] >= least)[0]
+                if len(at) < least:
+                    continue
+                starts = np.nonzero(shared[n:] - shared[: len(keys) - n + 1] >= least)[0]
                 if not len(starts):
                     continue
-                sums = sign_sums(s) if sums is None else sums
-                for start, print_ in zip(starts.tolist(), fingerprints(sums, starts, n).tolist()):
-                    for m in self.near(size, print_):
-                        if best.get(m, 0.0) < 1.0:
-                            got = similarity(Counter(s[start : start + n].tolist()), self.items[m][1])
-                            if got >= self.threshold - 1e-12 and got > best.get(m, 0.0):
-                                best[m] = got
+                if s is None:
+                    s = shingle_hashes(words, ids, k)
+                    sums = sign_sums(s)
+                found, members = self.near(size, np.ascontiguousarray(fingerprints(sums, starts, n)))
+                for start, m in zip(starts[found].tolist(), members.tolist()):
+                    m = self.sizes[size][m]
+                    if best.get(m, 0.0) < 1.0:
+                        got = similarity(Counter(s[start : start + n].tolist()), self.items[m][1])
+                        if got >= self.threshold - 1e-12 and got > best.get(m, 0.0):
+                            best[m] = got
         return best
 
 
