@@ -14,7 +14,9 @@ task replaces whole.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -30,8 +32,8 @@ from quern.llm.common import NO_ID, Scratch
 MAGIC = b"QTOK0001"
 BLOCK = 1 << 16
 END_ID = 2
-CACHED = 300_000  # pieces whose ids a worker remembers
-LONGEST = 48  # longer pieces are not remembered
+CACHED = 500_000  # words whose ids a worker remembers
+LONGEST = 48  # longer ones are not remembered
 META = "part int, path string, n_docs long, n_tokens long"
 
 
@@ -130,43 +132,67 @@ class Reader:
         return self.ids(int(self.firsts[i]), int(self.firsts[i + 1]))
 
 
+# The tokenizer's own word pattern, here over the letters of PLAIN texts alone.
+OWN_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+LETTERS = "a-zß-öø-ÿ"
+PLAIN_WORDS = re.compile(OWN_PATTERN.replace(r"\p{L}", LETTERS).replace(r"\p{N}", "0-9"))
+PLAIN = re.compile(r"[\t\n\r -~À-ÖØ-öø-ÿ]*")  # no other letters, digits, blanks or combining marks
+WORD_END = "</w>"
+
+
 class Encoder:
-    """Encodes texts piece by piece between blanks, which no token of the vocabulary crosses.
+    """The tokenizer's ids, with the ids of words that a worker has met before kept at hand.
 
-    Only for tokenizers that drop white space and normalise character by character; others must be
-    used with ``pieces=False``, which encodes whole texts.
+    Texts of PLAIN characters are cut into words as the tokenizer cuts them; unknown words are encoded
+    together, and as each word's last token ends with WORD_END, their ids are told apart. All other
+    texts, those with special tokens' strings, and tokenizers of another pattern are encoded whole.
     """
 
-    def __init__(self, path: str, pieces: bool = True):
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         self.bits = max(1, (self.tokenizer.get_vocab_size(with_added_tokens=True) - 1).bit_length())
-        self.pieces = pieces
-        self.known: dict[str, bytes] = {"": b""}
-
-    def raw(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.batch(texts, add_special_tokens=False)]
+        form = json.loads(self.tokenizer.to_str())
+        cut = [x["pattern"].get("Regex") for x in (form["pre_tokenizer"] or {}).get("pretokenizers", []) if x["type"] == "Split"]
+        kinds = [x["type"] for x in (form["normalizer"] or {}).get("normalizers", [])]
+        self.by_word = cut == [OWN_PATTERN] and kinds == ["NFC", "Replace", "Lowercase"] and form["model"].get("end_of_word_suffix") == WORD_END
+        self.special = [x["content"] for x in form["added_tokens"]]
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith(WORD_END)]] = True
+        self.known: dict[str, bytes] = {}
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.batch([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def learn(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of distinct words."""
+        ids = self.whole(" ".join(words))
+        stops = np.nonzero(self.ends[ids])[0] + 1
+        if len(stops) != len(words) or (len(ids) and stops[-1] != len(ids)):
+            return {w: self.whole(w).tobytes() for w in words}
+        data, at = ids.tobytes(), [0, *(stops * 4).tolist()]
+        return {w: data[at[i] : at[i + 1]] for i, w in enumerate(words)}
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian 32-bit integers."""
-        if not self.pieces:
-            return self.raw([text])[0]
-        parts = text.replace("\n", " ").split(" ")
-        got = list(map(self.known.get, parts))
+        if not self.by_word or not PLAIN.fullmatch(text) or any(s in text for s in self.special):
+            return self.whole(text).tobytes()
+        words = PLAIN_WORDS.findall(text.lower())
+        got = list(map(self.known.get, words))
         if None in got:
-            new = list({p for p, g in zip(parts, got) if g is None})
-            made = dict(zip(new, self.raw(new)))
-            got = [made[p] if g is None else g for p, g in zip(parts, got)]
+            made = self.learn(list({w for w, g in zip(words, got) if g is None}))
+            got = [made[w] if g is None else g for w, g in zip(words, got)]
             if len(self.known) + len(made) > CACHED:
-                self.known = {"": b""}
-            self.known.update((p, g) for p, g in list(made.items())[:CACHED] if len(p) <= LONGEST)
+                self.known = {}
+            self.known.update((w, g) for w, g in list(made.items())[:CACHED] if len(w) <= LONGEST)
         return b"".join(got)
 
 
-def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID, pieces: bool = True) -> list:
+def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID) -> list:
     """Write ``docs`` (doc_id, text) as token files in ``folder``; the rows of META, in file order.
 
     One range exchange puts documents in order; what returns to the driver is one row for each file.
@@ -182,7 +208,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID, pi
         for b in batches:
             if b.num_rows and out is None:
                 task = TaskContext.get()
-                encoder = Encoder(tokenizer, pieces)
+                encoder = Encoder(tokenizer)
                 fs, place = pa.fs.FileSystem.from_uri(folder)
                 fs.create_dir(place, recursive=True)
                 name = f"part-{task.partitionId():06d}.qtok"
@@ -219,8 +245,8 @@ def read(spark, files: list) -> DataFrame:
     return spark.range(0, len(todo), 1, max(1, len(todo))).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def round_trip(docs: DataFrame, tokenizer: str, end_id: int = END_ID, pieces: bool = True) -> DataFrame:
+def round_trip(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
     """Write token files to the shared folder and read the documents' table back from them."""
     spark = docs.sparkSession
     folder = Scratch(spark, "token-files").path("ids")
-    return read(spark, write(docs, tokenizer, folder, end_id, pieces))
+    return read(spark, write(docs, tokenizer, folder, end_id))
