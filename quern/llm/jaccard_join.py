@@ -66,7 +66,7 @@ def set_id(shingles: np.ndarray) -> int:
 
 
 def signatures(docs: DataFrame, threshold: float, k: int) -> DataFrame:
-    """doc_id, set_id (null where there are no shingles), bands."""
+    """dk, th, c (the set's id, null where there are no shingles), bands."""
     bands, rows = bands_for(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,15 +77,19 @@ def signatures(docs: DataFrame, threshold: float, k: int) -> DataFrame:
                 s = np.unique(shingle_hashes(words_of(text.as_py()), ids, k))
                 keys.append(set_id(s) if len(s) else None)
                 sigs.append(minhash_bands(s, bands, rows) if len(s) else [])
-            yield pa.RecordBatch.from_arrays([b.column("dk"), pa.array(keys, pa.int64()), pa.array(sigs, pa.list_(pa.int64()))], ["dk", "c", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column("dk"), b.column("th"), pa.array(keys, pa.int64()), pa.array(sigs, pa.list_(pa.int64()))], ["dk", "th", "c", "bands"])
 
-    return docs.select(_dk(), "text").mapInArrow(run, "dk long, c long, bands array<long>")
+    return docs.select(_dk(), _th(), "text").mapInArrow(run, "dk long, th long, c long, bands array<long>")
 
 
 def _dk():
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("dk")
 
 
+def _th():
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("th")
+
+
 def tiles(members: DataFrame) -> DataFrame:
     """``members`` (root, c, ...) once for each tile of their component: columns root, i, j, side.
 
@@ -157,32 +161,36 @@ def verify(rows: list[dict], threshold: float) -> list[tuple[int, int, int]]:
     return [(int(c[x]), int(c[order[root[x]]]), int(links[x])) for x in np.nonzero(links)[0]]
 
 
-def join(docs: DataFrame, threshold: float = THRESHOLD, k: int = K) -> DataFrame:
-    """doc_id, class_id, component_id, n_links of each row of ``docs`` (doc_id, text).
+def linked_rows(docs: DataFrame, threshold: float, k: int) -> DataFrame:
+    """dk, th, c, first, least, n_links of each row of ``docs`` (doc_id, text).
 
-    class_id: least doc_id with the same shingles; component_id: least doc_id reachable by links;
-    n_links: other documents at ``threshold`` or more, copies included.
+    dk and th know a row by its doc_id and text; first and least are those of the least row of its
+    class and of its component, null where there are no shingles.
     """
     scratch = Scratch(docs.sparkSession, "jaccard")
     sig = scratch.table(signatures(docs, threshold, k), "signatures")
     known = sig.where("c is not null")
-    classes = scratch.table(known.groupBy("c").agg(F.min("dk").alias("first"), F.count("*").alias("size")), "classes")
+    classes = scratch.table(known.groupBy("c").agg(F.min(F.struct("dk", "th")).alias("first"), F.count("*").alias("size")), "classes")
     bands = known.select("c", F.explode("bands").alias("band"))
     shared = bands.groupBy("band").agg(F.min("c").alias("a"), F.max("c").alias("z")).where("a <> z").select("band", "a")
     ties = bands.join(shared, "band").where("a <> c").groupBy("a", F.col("c").alias("b")).agg(F.lit(1).alias("one")).select("a", "b")
     near = components(scratch, ties)
-    todo = near.join(classes, near.v == classes.c).select("root", "c", "size", F.col("first").alias("dk"))
-    members = docs.select(_dk(), "text").join(todo, "dk")
+    todo = near.join(classes, near.v == classes.c).select("root", "c", "size", "first.dk", "first.th")
+    members = docs.select(_dk(), _th(), "text").join(todo, ["dk", "th"])
     count, rows = bands_for(threshold)
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = WordIds()
+        ids, done = WordIds(), set()
         for b in batches:
             out = []
-            for r in b.select(["root", "c", "size"]).to_pylist():
-                s = np.unique(shingle_hashes(words_of(b.column("text")[len(out)].as_py()), ids, k))
-                out.append(r | {"grams": s.tobytes(), "bands": minhash_bands(s, count, rows).tolist(), "own": len(s) > 0 and set_id(s) == r["c"]})
-            yield pa.RecordBatch.from_pylist([r for r in out if r.pop("own")], pa.schema([("root", pa.int64()), ("c", pa.int64()), ("size", pa.int64()), ("grams", pa.binary()), ("bands", pa.list_(pa.int64()))]))
+            for at, r in enumerate(b.select(["root", "c", "size"]).to_pylist()):
+                if r["c"] in done:  # a repeated row
+                    continue
+                s = np.unique(shingle_hashes(words_of(b.column("text")[at].as_py()), ids, k))
+                if len(s) and set_id(s) == r["c"]:
+                    done.add(r["c"])
+                    out.append(r | {"grams": s.tobytes(), "bands": minhash_bands(s, count, rows).tolist()})
+            yield pa.RecordBatch.from_pylist(out, pa.schema([("root", pa.int64()), ("c", pa.int64()), ("size", pa.int64()), ("grams", pa.binary()), ("bands", pa.list_(pa.int64()))]))
 
     sets = members.mapInArrow(grams, "root long, c long, size long, grams binary, bands array<long>")
     sets = scratch.table(sets, "sets")
@@ -210,20 +218,31 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, k: int = K) -> DataFrame
     whole = classes.join(total, "c", "left").join(tied.select(F.col("v").alias("c"), "root"), "c", "left").withColumn("root", F.coalesce("root", "c"))
     firsts = whole.groupBy("root").agg(F.min("first").alias("least"))
     by_class = whole.join(firsts, "root").select("c", "first", "least", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    return sig.select("dk", "th", "c").join(by_class, "c", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)))
+
+
+def join(docs: DataFrame, threshold: float = THRESHOLD, k: int = K) -> DataFrame:
+    """doc_id, class_id, component_id, n_links of each row of ``docs`` (doc_id, text).
+
+    class_id: least doc_id with the same shingles; component_id: least doc_id reachable by links;
+    n_links: other documents at ``threshold`` or more, copies included.
+    """
     shown = lambda x: F.when(x != NO_ID, x)
-    return sig.select("dk", "c").join(by_class, "c", "left").select(shown(F.col("dk")).alias("doc_id"), shown(F.coalesce("first", "dk")).alias("class_id"), shown(F.coalesce("least", "dk")).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    rows = linked_rows(docs, threshold, k)
+    return rows.select(shown(F.col("dk")).alias("doc_id"), shown(F.coalesce("first.dk", "dk")).alias("class_id"), shown(F.coalesce("least.dk", "dk")).alias("component_id"), "n_links")
 
 
 def representatives(docs: DataFrame, threshold: float = THRESHOLD, k: int = K) -> DataFrame:
     """The rows of ``docs``, all their columns, that are the first of their component.
 
-    Of rows that share the first doc_id one stays.
+    One row of each component stays: least doc_id, null first, then least text hash. Rows without
+    shingles are in no component and stay each by itself.
     """
-    found = Scratch(docs.sparkSession, "representatives").table(join(docs, threshold, k).select("doc_id", "component_id"), "found")
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(_dk()).agg(F.count("*").alias("n"))
-    first = first.select(F.col("dk").alias("quern_dk"), "n")
-    kept = docs.withColumn("quern_dk", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).join(first, "quern_dk")
+    found = Scratch(docs.sparkSession, "representatives").table(linked_rows(docs, threshold, k).select("dk", "th", "c", "least"), "found")
+    first = found.where("c is null or (dk = least.dk and th = least.th)").groupBy(F.col("dk").alias("quern_dk"), F.col("th").alias("quern_th"))
+    first = first.agg(F.when(F.count("c") > 0, F.count("*")).otherwise(1).alias("n"))
+    kept = docs.withColumn("quern_dk", _dk()).withColumn("quern_th", _th()).join(first, ["quern_dk", "quern_th"])
     if first.where("n > 1").limit(1).count():
         single = kept.where("n = 1")
-        kept = single.unionByName(kept.where("n > 1").dropDuplicates(["quern_dk"]))
+        kept = single.unionByName(kept.where("n > 1").dropDuplicates(["quern_dk", "quern_th"]))
     return kept.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -113,6 +113,23 @@ def test_jaccard_join(docs, none):
     assert kept.columns == docs.columns and Counter(i for i, _ in ids_texts(kept))[3] == 1
 
 
+def test_one_row_of_each_component_stays(spark):
+    """Rows that share a doc_id, or have none, are documents of their own."""
+    base = [f"w{i}" for i in range(100)]
+    near = lambda k: " ".join(w if i != 5 * k else f"x{k}" for i, w in enumerate(base))
+    far = lambda k: " ".join(f"{k}v{i}" for i in range(30))
+    rows = [(None, far(k)) for k in range(6)] + [(None, far(5)), (None, near(1)), (None, near(2)), (4, near(3))]
+    rows += [(7, far(10)), (7, far(11)), (8, far(11)), (9, far(12)), (9, far(12)), (3, far(13)), (5, far(13)), (5, far(14))]
+    rows += [(None, None), (None, None), (None, ""), (6, "..."), (6, "...")]
+    links = links_of([t for _, t in rows])
+    group = roots(links, list(range(len(rows))))
+    low = lambda g: min((-1 if i is None else i) for (i, _), x in zip(rows, group) if x == g)
+    kept = [(r.doc_id, r.text) for r in jaccard_join.representatives(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
+    of = {t: g for (_, t), g in zip(rows, group) if words_of(t)}
+    assert sorted(((-1 if i is None else i), of[t]) for i, t in kept if words_of(t)) == sorted((low(g), g) for g in set(of.values()))
+    assert Counter(x for x in kept if not words_of(x[1])) == Counter(x for x in rows if not words_of(x[1]))
+
+
 def test_jaccard_tiles(spark, monkeypatch):
     """A component of many blocks gives the same links as one block."""
     monkeypatch.setattr(jaccard_join, "TILE", 6)
