@@ -1,6 +1,7 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming search, exact check.
 
-An item of n words is looked for in all windows of n words of every whole text, in three steps:
+An item of n words is looked for in all windows of n words of every whole text; a shorter text is
+itself the one window of items that it can reach the similarity with. Three steps:
 
 1. A window that reaches the similarity shares most of its five-word shingles with the item, so
    windows with fewer shingles of the benchmark than that are passed over (this loses nothing, and
@@ -129,22 +130,23 @@ class Index:
             s = sums = None
             for size in self.sizes:
                 n = size - k + 1
-                if min(K, size) != k or n > len(keys):
+                width = min(n, len(keys))
+                if min(K, size) != k or width < self.threshold * n - 1e-9:
                     continue
-                least = int(np.ceil(2 * n * self.threshold / (1 + self.threshold) - 1e-9))
+                least = int(np.ceil((n + width) * self.threshold / (1 + self.threshold) - 1e-9))
                 if len(at) < least:
                     continue
-                starts = np.nonzero(shared[n:] - shared[: len(keys) - n + 1] >= least)[0]
+                starts = np.nonzero(shared[width:] - shared[: len(keys) - width + 1] >= least)[0]
                 if not len(starts):
                     continue
                 if s is None:
                     s = shingle_hashes(words, ids, k)
                     sums = sign_sums(s)
-                found, members = self.near(size, np.ascontiguousarray(fingerprints(sums, starts, n)))
+                found, members = self.near(size, np.ascontiguousarray(fingerprints(sums, starts, width)))
                 for start, m in zip(starts[found].tolist(), members.tolist()):
                     m = self.sizes[size][m]
                     if best.get(m, 0.0) < 1.0:
-                        got = similarity(Counter(s[start : start + n].tolist()), self.items[m][1])
+                        got = similarity(Counter(s[start : start + width].tolist()), self.items[m][1])
                         if got >= self.threshold - 1e-12 and got > best.get(m, 0.0):
                             best[m] = got
         return best

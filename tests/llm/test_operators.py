@@ -303,6 +303,30 @@ def test_decontamination(spark, docs, none):
     assert kept.columns == docs.columns and {i for i, _ in ids_texts(kept)} == {i for i, _ in ids_texts(docs)} - {i for i, _ in want} | {i for i, t in ids_texts(kept) if i == 5}
 
 
+def test_decontamination_of_texts_shorter_than_items(spark):
+    """A cut item is found down to the threshold; the whole text is its one window."""
+    rng = random.Random(8)
+    item = [f"w{rng.randrange(40)}" for _ in range(50)]
+    texts = [" ".join(item[a:b]) for a, b in ((0, 50), (0, 49), (1, 50), (2, 47), (0, 41), (0, 40), (0, 20), (0, 3))]
+    texts += [" ".join(["zzz", *item[1:48]]), " ".join(["one", "two", "three"]), "one two three four"]
+    items = [" ".join(item), "one two three four", "one two three four five six", " ".join(item[:44])]
+    ids = WordIds()
+    want = {}
+    for i, t in enumerate(texts):
+        words = words_of(t)
+        for j, x in enumerate(items):
+            own = words_of(x)
+            for p in range(max(len(words) - len(own), 0) + 1):
+                got = decontaminate.similarity(Counter(shingle_hashes(words[p : p + len(own)], ids).tolist()), Counter(shingle_hashes(own, ids).tolist()))
+                if got >= 0.8 - 1e-12:
+                    want[i, j] = max(got, want.get((i, j), 0))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    assert {(r.doc_id, r.item_id): r.similarity for r in decontaminate.hits(docs, bench).collect()} == want
+    assert {(1, 0), (2, 0), (3, 0), (4, 0)} <= set(want) and (5, 0) not in want
+    assert {r.doc_id for r in decontaminate.clean(docs, bench).collect()} == set(range(len(texts))) - {i for i, _ in want}
+
+
 def test_hamming_index_finds_all_within_radius():
     rng = np.random.default_rng(0)
     index = decontaminate.Index([(i, " ".join(f"w{rng.integers(99)}" for _ in range(12))) for i in range(30)])
