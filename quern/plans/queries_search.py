@@ -248,6 +248,18 @@ def snippet_marked(spark, sf_dir):
     return d.where(n.between(1, 32)).select("doc_id", T.snippet(F.col("text"), F.array(*map(F.lit, TERMS))).alias("snippet"))
 
 
+@query(f"""WITH {DOCS}, w AS (SELECT doc_id, {words_sql("text")} AS ws FROM docs),
+f AS (SELECT doc_id, generate_subscripts(ws, 1) - 1 AS i, unnest(ws) AS word, len(ws) AS n FROM w),
+m AS (SELECT *, list_has_any({tok("word")}, {TERMS!r})::INT AS hit FROM f),
+c AS (SELECT doc_id, i, n, sum(hit) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 31 FOLLOWING) AS hits FROM m),
+s AS (SELECT doc_id, first(i ORDER BY hits DESC, i) AS start FROM c WHERE i <= greatest(n - 32, 0) GROUP BY doc_id),
+b AS (SELECT doc_id, ws, coalesce(start, 0) AS start FROM w LEFT JOIN s USING (doc_id))
+SELECT doc_id, CASE WHEN start > 0 THEN '… ' ELSE '' END || array_to_string([CASE WHEN list_has_any({tok("x")}, {TERMS!r}) THEN '<mark>' || replace(replace(replace(replace(x, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') || '</mark>' ELSE replace(replace(replace(replace(x, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') END for x in ws[start + 1 : start + 32]], ' ') || CASE WHEN start + 32 < len(ws) THEN ' …' ELSE '' END AS snippet FROM b""")
+def snippet_whole(spark, sf_dir):
+    """The marked best window of every whole text."""
+    return corpus(spark, sf_dir).select("doc_id", T.snippet(F.col("text"), F.array(*map(F.lit, TERMS))).alias("snippet"))
+
+
 MISSPELT = [(0, "thhaen thinng"), (1, "entin reedd"), (2, "zzzzzzzzzz"), (3, "example httpss")]
 VOCAB = f"""{DOCS}, tw AS (SELECT unnest({tok("title")}) AS term, 3 AS w FROM docs UNION ALL SELECT unnest({tok("url")}), 1 FROM docs),
 vocab AS (SELECT term, sum(w)::BIGINT AS weight FROM tw WHERE strlen(term) >= 3 AND term NOT IN ({STOP}) GROUP BY term)"""
