@@ -14,9 +14,16 @@ from quern.sources import records
 
 RANK_EDGES = "e AS (SELECT c_nationkey AS src, s_nationkey AS dst FROM orders JOIN customer ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey <> s_nationkey AND o_orderpriority = '1-URGENT')"
 ROUNDS = 10
-RANK_SQL = f"""WITH {RANK_EDGES}, w AS (SELECT src, dst, count(*) / any_value(o) AS w FROM e JOIN (SELECT src, count(*)::DOUBLE AS o FROM e GROUP BY src) USING (src) GROUP BY src, dst),
+
+
+def rank_sql(edges: str, rounds: int) -> str:
+    return f"""WITH {edges}, w AS (SELECT src, dst, count(*) / any_value(o) AS w FROM e JOIN (SELECT src, count(*)::DOUBLE AS o FROM e GROUP BY src) USING (src) GROUP BY src, dst),
 n AS (SELECT n_nationkey AS id, n_nationkey IN (SELECT src FROM e) AS linked FROM nation), r0 AS (SELECT id, linked, 1.0 / (SELECT count(*) FROM n) AS r FROM n),
-""" + ",\n".join(f"r{i} AS MATERIALIZED (SELECT id, linked, 0.15 / (SELECT count(*) FROM n) + 0.85 * (coalesce((SELECT sum(p.r * w.w) FROM r{i - 1} p JOIN w ON p.id = w.src WHERE w.dst = x.id), 0) + coalesce((SELECT sum(r) FROM r{i - 1} WHERE NOT linked), 0) / (SELECT count(*) FROM n)) AS r FROM r{i - 1} x)" for i in range(1, ROUNDS + 1)) + f"\nSELECT id::BIGINT AS doc_id, round(r, 9) AS rank FROM r{ROUNDS}"
+""" + ",\n".join(f"r{i} AS MATERIALIZED (SELECT id, linked, 0.15 / (SELECT count(*) FROM n) + 0.85 * (coalesce((SELECT sum(p.r * w.w) FROM r{i - 1} p JOIN w ON p.id = w.src WHERE w.dst = x.id), 0) + coalesce((SELECT sum(r) FROM r{i - 1} WHERE NOT linked), 0) / (SELECT count(*) FROM n)) AS r FROM r{i - 1} x)" for i in range(1, rounds + 1)) + f"\nSELECT id::BIGINT AS doc_id, round(r, 9) AS rank FROM r{rounds}"
+
+
+RANK_SQL = rank_sql(RANK_EDGES, ROUNDS)
+WHOLE_RANK_SQL = rank_sql(RANK_EDGES.replace(" AND o_orderpriority = '1-URGENT'", ""), links.ROUNDS)
 
 
 @query(RANK_SQL)
@@ -28,6 +35,16 @@ def pagerank_nations(spark, sf_dir):
     return links.pagerank(nodes, edges, rounds=ROUNDS).select("doc_id", F.round("rank", 9).alias("rank"))
 
 
+@query(WHOLE_RANK_SQL)
+def pagerank_nations_whole(spark, sf_dir):
+    """Over the orders of every priority, at the operator's own number of rounds."""
+    t = lambda n: table(spark, sf_dir, n)
+    trade = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    edges = trade.where("c_nationkey <> s_nationkey").select(F.col("c_nationkey").cast("long").alias("src"), F.col("s_nationkey").cast("long").alias("dst"))
+    nodes = t("nation").select(F.col("n_nationkey").cast("long").alias("doc_id"))
+    return links.pagerank(nodes, edges).select("doc_id", F.round("rank", 9).alias("rank"))
+
+
 VEC = "v AS (SELECT vec_id, label, [x::DOUBLE for x in embedding] AS e FROM embeddings)"
 
 
