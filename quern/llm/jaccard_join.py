@@ -1,15 +1,22 @@
 """N-gram Jaccard join: MinHash bands propose pairs, full n-gram sets decide them.
 
 Documents are sets of five-word shingles (a shorter text is one shingle). Equal sets form a class,
-known by a hash of the set, and all work is on classes. Bands and rows are chosen for the target
-recall at the threshold. A band hash that several classes share ties them to the least of them, so a
-bucket of any size gives one row a member; the components of those ties are split into tiles of
-bounded size, in which every pair that shares a band is verified on the full sets. A tile returns one
-row a class: its number of links and a spanning tie, never the pairs.
+known by a 128-bit hash of the set and numbered; all work is on classes. Bands and rows are chosen for
+the target recall at the threshold. A band hash that several classes share ties each of them to the
+least of them, so a bucket of any size gives one row a member; a class is put under the least of its
+ties at once, and only distinct ties between different labels are left for the components.
+
+Each component is cut by the length of its sets, as sets whose sizes differ by more than the threshold
+can't be linked, and then into blocks bounded in sets and in bytes. Each pair of blocks of the same or
+neighbouring lengths is a tile, in which every pair that shares a band is verified on the full sets. A
+tile returns one row a class: its number of links and a spanning tie, never the pairs. A group of m
+different texts of one length that are all linked takes m * m / 2 comparisons (as matrix products),
+since the number of links of each is asked for; they are spread over its tiles.
 
 Defined cases: null text and text without words link with nothing; repeated rows are copies of each
 other; rows that repeat a doc_id with other text count as documents of their own; a null doc_id links
-like any other and is reported as the least id; an empty table gives an empty result.
+like any other and is reported as the least id; ids that aren't whole numbers are refused; an empty
+table gives an empty result; further columns, whatever their names, are ignored or kept as they are.
 """
 
 from __future__ import annotations
@@ -23,13 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import NO_ID, Scratch, WordIds, components, shingle_hashes, words_of
+from quern.llm.common import NO_ID, Scratch, WordIds, components, lean, shingle_hashes, whole_ids, words_of
 
 K = 5
 THRESHOLD = 0.8
 RECALL = 0.9995
 MOST_HASHES = 112
-TILE = 768  # classes on a side of a tile
+TILE = 768  # classes on a side of a tile, at most about
+TILE_KEY = ["root", "lo", "i", "hi", "j"]
+TILE_BYTES = 12 << 20  # bytes of shingle hashes on a side of a tile, at most about; a single set may be larger
 
 
 def bands_for(threshold: float, recall: float = RECALL, most: int = MOST_HASHES) -> tuple[int, int]:
@@ -60,13 +69,14 @@ def minhash_bands(shingles: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out.view(np.int64)
 
 
-def set_id(shingles: np.ndarray) -> int:
-    """A 64-bit content hash of a sorted set."""
-    return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
+def set_id(shingles: np.ndarray) -> tuple[int, int]:
+    """A 128-bit content hash of a sorted set, as two longs."""
+    d = hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
 def signatures(docs: DataFrame, threshold: float, k: int) -> DataFrame:
-    """dk, th, c (the set's id, null where there are no shingles), bands."""
+    """dk, th, c1, c2 (the set's id, null where there are no shingles), bands."""
     bands, rows = bands_for(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,11 +85,11 @@ def signatures(docs: DataFrame, threshold: float, k: int) -> DataFrame:
             keys, sigs = [], []
             for text in b.column("text"):
                 s = np.unique(shingle_hashes(words_of(text.as_py()), ids, k))
-                keys.append(set_id(s) if len(s) else None)
+                keys.append(set_id(s) if len(s) else (None, None))
                 sigs.append(minhash_bands(s, bands, rows) if len(s) else [])
-            yield pa.RecordBatch.from_arrays([b.column("dk"), b.column("th"), pa.array(keys, pa.int64()), pa.array(sigs, pa.list_(pa.int64()))], ["dk", "th", "c", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column("dk"), b.column("th"), *(pa.array([x[i] for x in keys], pa.int64()) for i in (0, 1)), pa.array(sigs, pa.list_(pa.int64()))], ["dk", "th", "c1", "c2", "bands"])
 
-    return docs.select(_dk(), _th(), "text").mapInArrow(run, "dk long, th long, c long, bands array<long>")
+    return docs.select(_dk(), _th(), "text").mapInArrow(lean(run), "dk long, th long, c1 long, c2 long, bands array<long>")
 
 
 def _dk():
@@ -90,16 +100,29 @@ def _th():
     return F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("th")
 
 
-def tiles(members: DataFrame) -> DataFrame:
-    """``members`` (root, c, ...) once for each tile of their component: columns root, i, j, side.
+def tiles(members: DataFrame, threshold: float) -> DataFrame:
+    """``members`` (root, c, n_grams, ...) once for each of their tiles: columns lo, i, hi, j, length, block.
 
-    A component of n classes has ceil(n / TILE) blocks, and each pair of blocks is one tile.
+    A tile is block i of length lo against block j of length hi (lo itself or the next one). Sets of
+    sizes that ``threshold`` allows are of the same length or of neighbouring ones.
     """
-    sizes = members.groupBy("root").agg(F.count("*").alias("n"))
-    n = F.ceil(F.col("n") / TILE).cast("int")
-    placed = members.join(sizes, "root").withColumn("n", n).withColumn("block", F.pmod(F.xxhash64("c"), F.col("n")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other")
-    return placed.select("*", other).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("n", "other")
+    base = math.log(1 / threshold) + 1e-9 if threshold < 1 else 1.0
+    placed = members.withColumn("length", F.floor(F.log("n_grams") / base).cast("int"))
+    sizes = placed.groupBy("root", "length").agg(F.count("*").alias("n"), F.sum("n_grams").alias("m"))
+    sizes = sizes.select("root", "length", F.greatest(F.ceil(F.col("n") / TILE), F.ceil(F.col("m") * 8 / TILE_BYTES)).cast("int").alias("n"))
+    near = [sizes.select("root", (F.col("length") - step).alias("length"), F.col("n").alias(name)) for step, name in ((-1, "below"), (1, "above"))]
+    around = sizes.join(near[0], ["root", "length"], "left").join(near[1], ["root", "length"], "left")
+    placed = placed.join(around, ["root", "length"]).withColumn("block", F.pmod(F.xxhash64("c"), F.col("n")).cast("int"))
+
+    def of(count, tile):
+        every = F.when(F.coalesce(count, F.lit(0)) > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(every, lambda x: F.struct(*(v.alias(name) for v, name in zip(tile(x), ("lo", "i", "hi", "j")))))
+
+    at, block = F.col("length"), F.col("block")
+    own = of(F.col("n"), lambda x: (at, F.least(block, x), at, F.greatest(block, x)))
+    up = of(F.col("above"), lambda x: (at, block, at + 1, x))
+    down = of(F.col("below"), lambda x: (at - 1, x, at, block))
+    return placed.withColumn("tile", F.explode(F.concat(own, up, down))).select(*members.columns, "length", "block", "tile.*")
 
 
 def linked_pairs(sets: list[np.ndarray], maybe: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -137,13 +160,13 @@ def verify(rows: list[dict], threshold: float) -> list[tuple[int, int, int]]:
         return []
     c = np.array([r["c"] for r in rows], np.int64)
     size = np.array([r["size"] for r in rows], np.int64)
-    block = np.array([r["block"] for r in rows])
+    side = np.array([(r["length"], r["block"]) == (r["hi"], r["j"]) for r in rows])
     bands = np.array([r["bands"] for r in rows], np.int64)
     maybe = np.zeros((len(rows), len(rows)), bool)
     for column in bands.T:
         maybe |= column[:, None] == column[None, :]
-    if rows[0]["i"] != rows[0]["j"]:  # pairs inside a block belong to its own tile
-        maybe &= block[:, None] != block[None, :]
+    if (rows[0]["lo"], rows[0]["i"]) != (rows[0]["hi"], rows[0]["j"]):  # pairs inside a block belong to its own tile
+        maybe &= side[:, None] != side[None, :]
     a, b = linked_pairs([np.frombuffer(r["grams"], np.uint64) for r in rows], np.triu(maybe, 1), threshold)
     links = np.bincount(a, size[b], len(rows)) + np.bincount(b, size[a], len(rows))
     root = np.arange(len(rows))
@@ -164,35 +187,46 @@ def verify(rows: list[dict], threshold: float) -> list[tuple[int, int, int]]:
 def linked_rows(docs: DataFrame, threshold: float, k: int) -> DataFrame:
     """dk, th, c, first, least, n_links of each row of ``docs`` (doc_id, text).
 
-    dk and th know a row by its doc_id and text; first and least are those of the least row of its
-    class and of its component, null where there are no shingles.
+    dk and th know a row by its doc_id and text; c is the number of its class; first and least are
+    (dk, th) of the least row of its class and of its component; all null where there are no shingles.
     """
+    whole_ids(docs, "doc_id")
     scratch = Scratch(docs.sparkSession, "jaccard")
     sig = scratch.table(signatures(docs, threshold, k), "signatures")
-    known = sig.where("c is not null")
-    classes = scratch.table(known.groupBy("c").agg(F.min(F.struct("dk", "th")).alias("first"), F.count("*").alias("size")), "classes")
-    bands = known.select("c", F.explode("bands").alias("band"))
+    known = sig.where("c1 is not null")
+    classes = known.groupBy("c1", "c2").agg(F.min(F.struct("dk", "th")).alias("first"), F.count("*").alias("size"))
+    classes = scratch.table(classes.withColumn("c", F.monotonically_increasing_id()), "classes")  # written, so the numbers stay
+    one = known.alias("k").join(classes.select("c", "c1", "c2", "first"), ["c1", "c2"]).where("k.dk = first.dk and k.th = first.th")
+    bands = scratch.table(one.select("c", F.explode("bands").alias("band")), "bands")
     shared = bands.groupBy("band").agg(F.min("c").alias("a"), F.max("c").alias("z")).where("a <> z").select("band", "a")
-    ties = bands.join(shared, "band").where("a <> c").groupBy("a", F.col("c").alias("b")).agg(F.lit(1).alias("one")).select("a", "b")
-    near = components(scratch, ties)
-    todo = near.join(classes, near.v == classes.c).select("root", "c", "size", "first.dk", "first.th")
+    ties = bands.join(shared, "band").groupBy("c").agg(F.min("a").alias("l"), F.collect_set("a").alias("all"))  # as many as bands, at most
+    ties = scratch.table(ties, "ties")
+    scratch.drop(bands)
+    apart = ties.select(F.col("l").alias("a"), F.explode("all").alias("b")).where("a <> b").distinct()
+    near = ties.join(components(scratch, apart).select(F.col("v").alias("l"), "root"), "l", "left").select("c", F.coalesce("root", "l").alias("root"))
+    todo = near.join(classes, "c").select("root", "c", "c1", "c2", "size", "first.dk", "first.th")
     members = docs.select(_dk(), _th(), "text").join(todo, ["dk", "th"])
     count, rows = bands_for(threshold)
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, done = WordIds(), set()
+        schema = pa.schema([("root", pa.int64()), ("c", pa.int64()), ("size", pa.int64()), ("n_grams", pa.int64()), ("grams", pa.binary()), ("bands", pa.list_(pa.int64()))])
         for b in batches:
-            out = []
-            for at, r in enumerate(b.select(["root", "c", "size"]).to_pylist()):
+            out, held = [], 0
+            for at, r in enumerate(b.select(["root", "c", "c1", "c2", "size"]).to_pylist()):
                 if r["c"] in done:  # a repeated row
                     continue
                 s = np.unique(shingle_hashes(words_of(b.column("text")[at].as_py()), ids, k))
-                if len(s) and set_id(s) == r["c"]:
+                if len(s) and set_id(s) == (r["c1"], r["c2"]):
                     done.add(r["c"])
-                    out.append(r | {"grams": s.tobytes(), "bands": minhash_bands(s, count, rows).tolist()})
-            yield pa.RecordBatch.from_pylist(out, pa.schema([("root", pa.int64()), ("c", pa.int64()), ("size", pa.int64()), ("grams", pa.binary()), ("bands", pa.list_(pa.int64()))]))
-
-    sets = members.mapInArrow(grams, "root long, c long, size long, grams binary, bands array<long>")
+                    out.append({"root": r["root"], "c": r["c"], "size": r["size"], "n_grams": len(s), "grams": s.tobytes(), "bands": minhash_bands(s, count, rows).tolist()})
+                    held += s.nbytes
+                    if held > 8 << 20:
+                        yield pa.RecordBatch.from_pylist(out, schema)
+                        out, held = [], 0
+            yield pa.RecordBatch.from_pylist(out, schema)
+
+    sets = members.mapInArrow(lean(grams), "root long, c long, size long, n_grams long, grams binary, bands array<long>")
     sets = scratch.table(sets, "sets")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,22 +237,23 @@ def linked_rows(docs: DataFrame, threshold: float, k: int) -> DataFrame:
         made = lambda rows: pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)] if rows else [pa.array([], pa.int64())] * 3, schema=schema)
         for b in batches:
             for r in b.to_pylist():
-                if (r["root"], r["i"], r["j"]) != at:
+                if (key := tuple(r[x] for x in TILE_KEY)) != at:
                     out += verify(held, threshold)
-                    held, at = [], (r["root"], r["i"], r["j"])
+                    held, at = [], key
                 held.append(r)
             yield made(out)
             out = []
         yield made(verify(held, threshold))
 
-    dealt = tiles(sets).repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
-    links = scratch.table(dealt.mapInArrow(check, "c long, tie long, links long"), "links")
+    dealt = tiles(sets, threshold).repartition(*TILE_KEY).sortWithinPartitions(*TILE_KEY)
+    links = scratch.table(dealt.mapInArrow(lean(check), "c long, tie long, links long"), "links")
+    scratch.drop(sets)
     total = links.groupBy("c").agg(F.sum("links").alias("links"))
     tied = components(scratch, links.select(F.col("c").alias("a"), F.col("tie").alias("b")))
     whole = classes.join(total, "c", "left").join(tied.select(F.col("v").alias("c"), "root"), "c", "left").withColumn("root", F.coalesce("root", "c"))
     firsts = whole.groupBy("root").agg(F.min("first").alias("least"))
-    by_class = whole.join(firsts, "root").select("c", "first", "least", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    return sig.select("dk", "th", "c").join(by_class, "c", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)))
+    by_class = whole.join(firsts, "root").select("c1", "c2", "c", "first", "least", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    return sig.select("dk", "th", "c1", "c2").join(by_class, ["c1", "c2"], "left").select("dk", "th", "c", "first", "least", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def join(docs: DataFrame, threshold: float = THRESHOLD, k: int = K) -> DataFrame:
@@ -239,10 +274,11 @@ def representatives(docs: DataFrame, threshold: float = THRESHOLD, k: int = K) -
     shingles are in no component and stay each by itself.
     """
     found = Scratch(docs.sparkSession, "representatives").table(linked_rows(docs, threshold, k).select("dk", "th", "c", "least"), "found")
-    first = found.where("c is null or (dk = least.dk and th = least.th)").groupBy(F.col("dk").alias("quern_dk"), F.col("th").alias("quern_th"))
+    first = found.where("c is null or (dk = least.dk and th = least.th)").groupBy("dk", "th")
     first = first.agg(F.when(F.count("c") > 0, F.count("*")).otherwise(1).alias("n"))
-    kept = docs.withColumn("quern_dk", _dk()).withColumn("quern_th", _th()).join(first, ["quern_dk", "quern_th"])
+    rows = docs.select(_dk(), _th(), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))  # no column of docs can clash
+    kept = rows.join(first, ["dk", "th"])
     if first.where("n > 1").limit(1).count():
         single = kept.where("n = 1")
-        kept = single.unionByName(kept.where("n > 1").dropDuplicates(["quern_dk", "quern_th"]))
-    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
+        kept = single.unionByName(kept.where("n > 1").dropDuplicates(["dk", "th"]))
+    return kept.select("row.*")
