@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import WordIds, shingle_hashes, words_of
+from quern.llm.common import Scratch, WordIds, held, lean, shingle_hashes, stored, words_of
 
 K = 5
 THRESHOLD = 0.8
@@ -152,48 +152,55 @@ class Index:
         return best
 
 
-def indexes(benchmark: DataFrame, threshold: float):
-    """Broadcast indexes of the benchmark's blocks of about BENCHMARK_BLOCK bytes each, one by one."""
+def blocks_of(benchmark: DataFrame) -> Iterator[str]:
+    """Paths of the benchmark's blocks of about BENCHMARK_BLOCK bytes each, as Arrow tables (item_id, text)."""
+    scratch = Scratch(benchmark.sparkSession, "benchmark")
     items = benchmark.select("item_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-total // BENCHMARK_BLOCK) or 1
     for i in range(n):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).collect()
-        yield benchmark.sparkSession.sparkContext.broadcast(Index([tuple(r) for r in part], threshold))
+        yield scratch.keep(items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).toArrow(), f"block{i}")
+
+
+def index_at(path: str, threshold: float) -> tuple[Index, pa.ChunkedArray]:
+    """A block's index, whose items are known by their rows, and its item ids."""
+    table = stored(path)
+    return Index(list(enumerate(table["text"].to_pylist())), threshold), table["item_id"]
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, item_id, similarity: a row for each item that a document (doc_id, text) contains."""
     kinds = [t.schema[c].dataType.simpleString() for t, c in ((docs, "doc_id"), (benchmark, "item_id"))]
-    wanted = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kinds[1]]
     out = None
-    for index in indexes(benchmark, threshold):
+    for path in blocks_of(benchmark):
 
-        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            ids, items = WordIds(), index.value.items
+        def run(batches: Iterator[pa.RecordBatch], path=path) -> Iterator[pa.RecordBatch]:
+            index, item_ids = held(path, lambda: index_at(path, threshold))
+            ids = WordIds()
             for b in batches:
                 rows, found, scores = [], [], []
                 for at, text in enumerate(b.column("text")):
-                    for m, score in index.value.search(words_of(text.as_py()), ids).items():
+                    for m, score in index.search(words_of(text.as_py()), ids).items():
                         rows.append(at)
-                        found.append(items[m][0])
+                        found.append(index.items[m][0])
                         scores.append(score)
-                doc_ids = b.column("doc_id").take(pa.array(rows, pa.int64()))
-                yield pa.RecordBatch.from_arrays([doc_ids, pa.array(found, wanted), pa.array(scores, pa.float64())], ["doc_id", "item_id", "similarity"])
+                items = item_ids.take(pa.array(found, pa.int64()))
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(rows, pa.int64())), items.combine_chunks() if isinstance(items, pa.ChunkedArray) else items, pa.array(scores, pa.float64())], ["doc_id", "item_id", "similarity"])
 
-        got = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kinds[0]}, item_id {kinds[1]}, similarity double")
+        got = docs.select("doc_id", "text").mapInArrow(lean(run), f"doc_id {kinds[0]}, item_id {kinds[1]}, similarity double")
         out = got if out is None else out.unionByName(got)
     return out
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs``, all their columns as they are, that contain no item of ``benchmark``."""
-    for index in indexes(benchmark, threshold):
+    for path in blocks_of(benchmark):
 
-        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], path=path) -> Iterator[pa.RecordBatch]:
+            index, _ = held(path, lambda: index_at(path, threshold))
             ids = WordIds()
             for b in batches:
-                yield b.filter(pa.array([not index.value.search(words_of(t.as_py()), ids) for t in b.column("text")], pa.bool_()))
+                yield b.filter(pa.array([not index.search(words_of(t.as_py()), ids) for t in b.column("text")], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(lean(run), docs.schema)
     return docs

@@ -7,9 +7,15 @@ of documents, blocks and bits (uint64 x 3) and ``MAGIC`` again. A block is unpac
 range is read without the rest; numpy unpacks a block at once.
 
 Documents are in ascending doc_id order across files (null first, rows that repeat a doc_id by a
-hash of their text), each ended by ``end_id``. Null text counts as empty: only the end id. An empty
-table gives no file and an empty result. Files go to the shared folder under names that a repeated
-task replaces whole.
+hash of their text), each ended by ``end_id``. The range exchange goes by both, so rows of one doc_id
+or of none are spread too. Its parts follow from the bytes of the texts, and a part's file is closed for
+the next one at a bounded number of ids or documents, so neither a file nor a writer's memory grows with
+the input. The table of files stays in the shared folder; where each file begins is summed over groups
+of parts.
+
+Null text counts as empty: only the end id. An empty table gives no file and an empty result. Ids that
+aren't whole numbers are refused, as files hold 64-bit ids. Files go to the shared folder under names
+that a repeated task replaces whole.
 """
 
 from __future__ import annotations
@@ -26,15 +32,20 @@ import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from quern.llm.common import NO_ID, Scratch
+from quern.llm.common import NO_ID, Scratch, held, lean, whole_ids
 
 MAGIC = b"QTOK0001"
 BLOCK = 1 << 16
 END_ID = 2
-CACHED = 500_000  # words whose ids a worker remembers
+CACHED = 250_000  # words whose ids a worker remembers
 LONGEST = 48  # longer ones are not remembered
-META = "part int, path string, n_docs long, n_tokens long"
+PART_BYTES = 64 << 20  # of text in a part of the range exchange, at most about
+LEAST_PART_BYTES = 4 << 20  # of text in a part where there are fewer parts than shuffle partitions
+FILE_IDS, FILE_DOCS = 1 << 26, 1 << 20  # a file is closed at the document that reaches either
+GROUP = 1024  # parts whose files are summed together
+META = "part int, piece int, path string, n_docs long, n_tokens long"
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
@@ -192,48 +203,62 @@ class Encoder:
         return b"".join(got)
 
 
-def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID) -> list:
-    """Write ``docs`` (doc_id, text) as token files in ``folder``; the rows of META, in file order.
-
-    One range exchange puts documents in order; what returns to the driver is one row for each file.
-    """
+def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID) -> DataFrame:
+    """Write ``docs`` (doc_id, text) as token files in ``folder``; the table of files (META)."""
+    whole_ids(docs, "doc_id")
     spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    scratch = Scratch(spark, "token-files")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(1, -(-size // PART_BYTES), min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // LEAST_PART_BYTES)))
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("dk")
-    rows = docs.select(key, F.coalesce(F.col("text"), F.lit("")).alias("text")).repartitionByRange(n, "dk").sortWithinPartitions("dk", F.xxhash64("text"))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select(key, F.xxhash64(text).alias("th"), text.alias("text")).repartitionByRange(n, "dk", "th").sortWithinPartitions("dk", "th").drop("th")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = held(tokenizer, lambda: Encoder(tokenizer))
         end = np.array([end_id], "<u4")
-        out = encoder = None
+        part, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
+        fs, place = pa.fs.FileSystem.from_uri(folder)
+        fs.create_dir(place, recursive=True)
+        out, piece = None, 0
+
+        def closed() -> pa.RecordBatch:
+            out.close()
+            fs.move(draft, f"{place}/{name}")
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((part, pa.int32()), (piece, pa.int32()), (f"{folder}/{name}", pa.string()), (len(out.docs), pa.int64()), (out.n, pa.int64()))], ["part", "piece", "path", "n_docs", "n_tokens"])
+
         for b in batches:
-            if b.num_rows and out is None:
-                task = TaskContext.get()
-                encoder = Encoder(tokenizer)
-                fs, place = pa.fs.FileSystem.from_uri(folder)
-                fs.create_dir(place, recursive=True)
-                name = f"part-{task.partitionId():06d}.qtok"
-                draft = f"{place}/.{name}-{task.taskAttemptId()}"
-                out = Writer(fs.open_output_stream(draft), encoder.bits)
             for dk, text in zip(b.column("dk"), b.column("text")):
+                if out is None:
+                    name = f"part-{part:06d}-{piece:05d}.qtok"
+                    draft = f"{place}/.{name}-{attempt}"
+                    out = Writer(fs.open_output_stream(draft), encoder.bits)
                 out.add(dk.as_py(), np.concatenate([np.frombuffer(encoder.encode(text.as_py()), "<u4"), end]))
+                if out.n >= FILE_IDS or len(out.docs) >= FILE_DOCS:
+                    yield closed()
+                    out, piece = None, piece + 1
         if out is not None:
-            out.close()
-            fs.move(draft, f"{place}/{name}")
-            yield pa.RecordBatch.from_pylist([{"part": task.partitionId(), "path": f"{folder}/{name}", "n_docs": len(out.docs), "n_tokens": out.n}], pa.schema([("part", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
+            yield closed()
+
+    return scratch.table(rows.mapInArrow(lean(run), META), "files")
 
-    return sorted(rows.mapInArrow(run, META).collect(), key=lambda r: r["part"])
 
+def placed(files: DataFrame) -> DataFrame:
+    """path, base: each file with the number of ids in all files before it."""
+    group = F.floor(F.col("part") / GROUP).alias("of")
+    sums = files.groupBy(group).agg(F.sum("n_tokens").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("of").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for GROUP parts
+    inside = F.coalesce(F.sum("n_tokens").over(Window.partitionBy("of").orderBy("part", "piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return files.withColumn("of", group).join(sums.select("of", before.alias("before")), "of").select("path", (F.col("before") + inside).alias("base"))
 
-def read(spark, files: list) -> DataFrame:
+
+def read(files: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document in the files that ``write`` returned."""
-    starts = np.cumsum([0, *(r["n_tokens"] for r in files)]).tolist()
-    todo = [(r["path"], s) for r, s in zip(files, starts)]
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in b.column(0).to_pylist():
-                path, base = todo[i]
+            for path, base in zip(b.column("path").to_pylist(), b.column("base").to_pylist()):
                 source = Reader(path)
                 for k in range(0, len(source.docs), 20_000):
                     span = range(k, min(k + 20_000, len(source.docs)))
@@ -242,11 +267,10 @@ def read(spark, files: list) -> DataFrame:
                     firsts = source.firsts[k : k + len(span) + 1]
                     yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(firsts[:-1] + base), pa.array(np.diff(firsts)), pa.array(sums, pa.int64())], schema=schema)
 
-    return spark.range(0, len(todo), 1, max(1, len(todo))).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    todo = Scratch(files.sparkSession, "token-files").table(placed(files), "placed")
+    return todo.repartition(max(1, min(todo.count(), 65_536))).mapInArrow(lean(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
     """Write token files to the shared folder and read the documents' table back from them."""
-    spark = docs.sparkSession
-    folder = Scratch(spark, "token-files").path("ids")
-    return read(spark, write(docs, tokenizer, folder, end_id))
+    return read(write(docs, tokenizer, Scratch(docs.sparkSession, "token-files").path("ids"), end_id))
