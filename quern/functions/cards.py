@@ -170,6 +170,14 @@ def local_card(query: Column) -> Column:
     return F.pandas_udf(_cards, CARD)(query)
 
 
+def card(queries: DataFrame, records: DataFrame) -> DataFrame:
+    """query_id and card of queries (query_id, q): weather first, then percentage, conversion, calculator; null without one."""
+    weather = weather_cards(queries, records).withColumnRenamed("card", "first")
+    local = queries.select("query_id", local_card(F.col("q")).alias("own"))
+    own = F.when(F.col("own.label").isNotNull(), F.col("own"))
+    return local.join(weather, "query_id", "left").select("query_id", F.coalesce("first", own).alias("card"))
+
+
 def _cards(queries: pd.Series) -> pd.DataFrame:
     empty = {"label": None, "title": None, "value": None, "detail": None}
     return pd.DataFrame([(percentage(q) or conversion(q) or calculator(q) or empty) if q is not None else empty for q in queries], columns=list(empty))

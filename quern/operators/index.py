@@ -78,8 +78,13 @@ def postings_of(analyzed_docs: DataFrame) -> DataFrame:
     return rows.groupBy("term", "doc_id").agg(count(F.col("title")).alias("tf_title"), count(~F.col("title")).alias("tf_body"), F.array_sort(F.collect_list("pos")).alias("positions"))
 
 
-def build(docs: DataFrame, stemmed: bool = False) -> Index:
-    """Index of docs (doc_id, url, title, text and optionally images, published, rank); the last of equal urls counts."""
+def build(docs: DataFrame, stemmed: bool = False, unique: bool = False) -> Index:
+    """Index of docs (doc_id, url, title, text and optionally images, published, rank).
+
+    The last of equal urls, by doc_id, counts; ``unique`` says that there are none and spares the look.
+    """
+    if not unique:
+        docs = last_by_url(docs)
     have = set(docs.columns)
     defaults = {"images": F.array().cast("array<struct<url:string,alt:string>>"), "published": F.lit(0).cast("long"), "rank": F.lit(0.0)}
     docs = docs.withColumns({k: v for k, v in defaults.items() if k not in have})
@@ -88,10 +93,10 @@ def build(docs: DataFrame, stemmed: bool = False) -> Index:
     return Index(kept, postings_of(rows), stemmed)
 
 
-def last_by_url(docs: DataFrame, order: str = "doc_id") -> DataFrame:
-    """One row a url, the last by ``order``."""
-    w = Window.partitionBy("url").orderBy(F.desc(order))
-    return docs.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+def last_by_url(docs: DataFrame) -> DataFrame:
+    """One row a url, that of the greatest doc_id; only urls and ids are exchanged to find it."""
+    last = docs.groupBy("url").agg(F.max("doc_id").alias("doc_id")).select("doc_id")
+    return docs.join(last, "doc_id", "left_semi")
 
 
 def diff(store: DataFrame, indexed: DataFrame) -> DataFrame:

@@ -23,13 +23,15 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = DAMPING, round
     reliable checkpoint: plans stay short, and a lost executor costs one round at most.
     """
     spark = nodes.sparkSession
-    reliable = bool(spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None))
-    if not reliable:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quern-ranks-"))
-    elif not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    if not spark.sparkContext.getCheckpointDir():
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master:
+            import tempfile
+
+            shared = tempfile.mkdtemp(prefix="quern-ranks-")
+        if not shared:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(shared)
     out = edges.groupBy("src").agg(F.count("*").alias("out"))
     weighted = edges.groupBy("src", "dst").agg(F.count("*").alias("n")).join(out, "src").select("src", "dst", (F.col("n") / F.col("out")).alias("w")).checkpoint()
     n = nodes.count()

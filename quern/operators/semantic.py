@@ -15,6 +15,7 @@ from quern.functions import text as T
 DIM = 256
 ANSWER_FLOOR = 0.6
 GRAPH_FLOOR = 0.5
+MOST_NODES, MOST_NEIGHBOURS = 1500, 16
 # The 64-bit FNV-1a hash.
 FNV_OFFSET, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
 
@@ -83,16 +84,20 @@ def similarities(query_vectors: DataFrame, vectors: DataFrame) -> DataFrame:
 MOST_SHIPPED = 8 << 20  # numbers in the query matrix that is sent to the workers
 
 
-def pooled(query_vectors: DataFrame, vectors: DataFrame, floor: float = 0.0) -> DataFrame:
-    """``max_pooled`` of the similarities above ``floor``, by matrix products.
+def pooled(query_vectors: DataFrame, vectors: DataFrame, floor: float = 0.0, most: int | None = None) -> DataFrame:
+    """``max_pooled`` of the similarities above ``floor`` (0 or more), by matrix products.
 
     The query matrix is sent to the workers if it holds MOST_SHIPPED numbers at most, and vectors
-    stream past it; a document's passages are pooled where they meet. Larger query sets are joined.
+    stream past it; a document's passages are pooled where they meet. Larger query sets are joined. With
+    ``most`` only documents that may be among a query's best ``most`` leave a batch: as a document's
+    best passage is in some batch, the best ``most`` of all are among them, ties included. Vectors of
+    other lengths than the query's have no similarity.
     """
-    size = query_vectors.agg(F.sum(F.size("qv").cast("long")), F.max(F.size("qv"))).first()
-    if not size[0] or size[0] > MOST_SHIPPED:
+    size = query_vectors.agg(F.sum(F.size("qv").cast("long")), F.max(F.size("qv")), F.min(F.size("qv"))).first()
+    ids_are_long = all(t.schema[c].dataType.simpleString() in ("bigint", "int") for t, c in ((query_vectors, "query_id"), (vectors, "doc_id")))
+    if not size[0] or size[0] > MOST_SHIPPED or size[1] != size[2] or not ids_are_long:
         return max_pooled(similarities(query_vectors, vectors)).where(F.col("score") > floor)
-    rows = query_vectors.select("query_id", "qv").where(F.size("qv") == size[1]).collect()
+    rows = query_vectors.select("query_id", "qv").collect()
     ids, matrix = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64).T
 
     def run(batches):
@@ -105,7 +110,10 @@ def pooled(query_vectors: DataFrame, vectors: DataFrame, floor: float = 0.0) ->
             ends = [*first[1:], len(b)]
             sims = np.stack(b["embedding"].to_numpy()).astype(np.float64) @ matrix
             best = np.maximum.reduceat(sims, first, axis=0)
-            d, q = np.nonzero(best > floor)
+            above = best > floor
+            if most is not None and len(best) > most:
+                above &= best >= np.partition(best, len(best) - most, axis=0)[len(best) - most]
+            d, q = np.nonzero(above)
             places = b["passage_idx"].to_numpy()
             last = np.empty(best.shape, np.int64)
             for i, (lo, hi) in enumerate(zip(first, ends)):
@@ -116,6 +124,40 @@ def pooled(query_vectors: DataFrame, vectors: DataFrame, floor: float = 0.0) ->
     return max_pooled(parts)
 
 
+def nearest(query_vectors: DataFrame, vectors: DataFrame, k: int, digits: int = 9) -> DataFrame:
+    """query_id, doc_id, score, rank: the ``k`` nearest vectors (doc_id, embedding) of each query, exactly.
+
+    Ordered by the score rounded to ``digits``, then doc_id. Each batch sends a query's best and what ties with
+    the last of them; there is no product of queries and vectors in the plan.
+    """
+    from quern.operators.rank import top
+
+    size = query_vectors.agg(F.sum(F.size("qv").cast("long")), F.max(F.size("qv")), F.min(F.size("qv"))).first()
+    if not size[0] or size[0] > MOST_SHIPPED or size[1] != size[2]:
+        found = similarities(query_vectors, vectors.withColumn("passage_idx", F.lit(0))).select("query_id", "doc_id", F.col("sim").alias("score"))
+    else:
+        rows = query_vectors.select("query_id", "qv").collect()
+        ids, matrix = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64).T
+
+        def run(batches):
+            for b in batches:
+                fits = b["embedding"].map(len) == len(matrix)
+                for far in (b[~fits],):  # 0 for other lengths, as in ``dot``
+                    if len(far):
+                        yield pd.DataFrame({"query_id": np.tile(ids, len(far)), "doc_id": np.repeat(far["doc_id"].to_numpy(), len(ids)), "score": 0.0})
+                b = b[fits]
+                if not len(b):
+                    continue
+                sims = np.stack(b["embedding"].to_numpy()).astype(np.float64) @ matrix
+                shown = np.round(sims, digits)
+                cut = np.partition(shown, len(shown) - k, axis=0)[len(shown) - k] if len(shown) > k else np.full(len(ids), -np.inf)
+                d, q = np.nonzero(shown >= cut)
+                yield pd.DataFrame({"query_id": ids[q], "doc_id": b["doc_id"].to_numpy()[d], "score": sims[d, q]})
+
+        found = vectors.select("doc_id", "embedding").mapInPandas(run, "query_id long, doc_id long, score double")
+    return top(found, k, [F.desc(F.round("score", digits)), F.asc("doc_id")])
+
+
 def max_pooled(sims: DataFrame) -> DataFrame:
     """query_id, doc_id, score (best passage), passage_idx; the last of equal passages."""
     best = sims.groupBy("query_id", "doc_id").agg(F.max(F.struct("sim", "passage_idx")).alias("x"))
@@ -149,21 +191,33 @@ def approximate(query_vectors: DataFrame, vectors: DataFrame, dim: int, k: int,
 
     An equi-join on buckets takes the place of a graph walk; what it finds is scored exactly.
     """
-    q = buckets(query_vectors.select("query_id", F.col("qv").alias("embedding")), dim, tables, bits)
-    near = buckets(vectors.select("doc_id", "passage_idx", "embedding"), dim, tables, bits)
-    found = near.join(q.select("query_id", F.col("embedding").alias("qv"), "table", "bucket"), ["table", "bucket"]).dropDuplicates(["query_id", "doc_id", "passage_idx"])
-    sims = found.select("query_id", "doc_id", "passage_idx", dot(F.col("embedding"), F.col("qv")).alias("sim"))
     from quern.operators.rank import top
 
-    return top(max_pooled(sims), k)
+    return top(approximate_pooled(query_vectors, vectors, dim, tables, bits), k)
+
+
+def approximate_pooled(query_vectors: DataFrame, vectors: DataFrame, dim: int, tables: int = 12, bits: int = 10) -> DataFrame:
+    """``max_pooled`` of the vectors that share a bucket with the query; vectors may bring their table and bucket.
+
+    Ids alone are joined by bucket, each pair once; vectors are fetched for what is left.
+    """
+    fits = vectors.where(F.size("embedding") == dim)
+    placed = fits if {"table", "bucket"} <= set(vectors.columns) else buckets(fits.select("doc_id", "passage_idx", "embedding"), dim, tables, bits)
+    asked = query_vectors.where(F.size("qv") == dim)
+    q = buckets(asked.select("query_id", F.col("qv").alias("embedding")), dim, tables, bits).select("query_id", "table", "bucket")
+    found = placed.select("doc_id", "passage_idx", "table", "bucket").join(q, ["table", "bucket"]).select("query_id", "doc_id", "passage_idx").distinct()
+    whole = fits.select("doc_id", "passage_idx", "embedding").dropDuplicates(["doc_id", "passage_idx"]) if placed is fits else fits.select("doc_id", "passage_idx", "embedding")
+    pairs = found.join(whole, ["doc_id", "passage_idx"]).join(asked.select("query_id", "qv"), "query_id")
+    return max_pooled(pairs.select("query_id", "doc_id", "passage_idx", dot(F.col("embedding"), F.col("qv")).alias("sim")))
 
 
-def similarity_graph(vectors: DataFrame, most: int = 1500, k: int = 4, floor: float = GRAPH_FLOOR) -> DataFrame:
-    """a, b, sim (a < b): each node's k best neighbours of at least ``floor`` among the first ``most``.
+def similarity_graph(vectors: DataFrame, most: int = 300, k: int = 4, floor: float = GRAPH_FLOOR) -> DataFrame:
+    """a, b, sim (a < b): each node's k best neighbours of at least ``floor`` among the ``most`` of highest rank.
 
-    The bound on nodes is the feature's own: a graph to look at.
+    vectors: doc_id, embedding, rank. The bounds (MOST_NODES, MOST_NEIGHBOURS) are the feature's own: a graph to look at.
     """
-    nodes = vectors.orderBy("doc_id").limit(most).select("doc_id", "embedding")
+    most, k = max(1, min(MOST_NODES, most)), max(1, min(MOST_NEIGHBOURS, k))
+    nodes = vectors.orderBy(F.desc("rank"), "doc_id").limit(most).select("doc_id", "embedding")
     left, right = nodes.toDF("a", "ea"), nodes.toDF("b", "eb")
     pairs = left.crossJoin(right).where("a <> b").select("a", "b", dot(F.col("ea"), F.col("eb")).alias("sim")).where(F.col("sim") >= floor)
     w = Window.partitionBy("a").orderBy(F.desc("sim"), "b")

@@ -12,32 +12,18 @@ from quern.operators import rank as R
 from quern.plans.registry import corpus, literal, query, table, values
 from quern.sources import records
 
-RANK_EDGES = "e AS (SELECT c_nationkey AS src, s_nationkey AS dst FROM orders JOIN customer ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey <> s_nationkey AND o_orderpriority = '1-URGENT')"
-ROUNDS = 10
+RANK_EDGES = "e AS (SELECT c_nationkey AS src, s_nationkey AS dst FROM orders JOIN customer ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey <> s_nationkey)"
 
 
-def rank_sql(edges: str, rounds: int) -> str:
+def rank_sql(edges: str, rounds: int, nodes: str = "(SELECT n_nationkey AS id FROM nation)") -> str:
     return f"""WITH {edges}, w AS (SELECT src, dst, count(*) / any_value(o) AS w FROM e JOIN (SELECT src, count(*)::DOUBLE AS o FROM e GROUP BY src) USING (src) GROUP BY src, dst),
-n AS (SELECT n_nationkey AS id, n_nationkey IN (SELECT src FROM e) AS linked FROM nation), r0 AS (SELECT id, linked, 1.0 / (SELECT count(*) FROM n) AS r FROM n),
+n AS (SELECT id, id IN (SELECT src FROM e) AS linked FROM {nodes}), r0 AS (SELECT id, linked, 1.0 / (SELECT count(*) FROM n) AS r FROM n),
 """ + ",\n".join(f"r{i} AS MATERIALIZED (SELECT id, linked, 0.15 / (SELECT count(*) FROM n) + 0.85 * (coalesce((SELECT sum(p.r * w.w) FROM r{i - 1} p JOIN w ON p.id = w.src WHERE w.dst = x.id), 0) + coalesce((SELECT sum(r) FROM r{i - 1} WHERE NOT linked), 0) / (SELECT count(*) FROM n)) AS r FROM r{i - 1} x)" for i in range(1, rounds + 1)) + f"\nSELECT id::BIGINT AS doc_id, round(r, 9) AS rank FROM r{rounds}"
 
 
-RANK_SQL = rank_sql(RANK_EDGES, ROUNDS)
-WHOLE_RANK_SQL = rank_sql(RANK_EDGES.replace(" AND o_orderpriority = '1-URGENT'", ""), links.ROUNDS)
-
-
-@query(RANK_SQL)
+@query(rank_sql(RANK_EDGES, links.ROUNDS))
 def pagerank_nations(spark, sf_dir):
-    t = lambda n: table(spark, sf_dir, n)
-    trade = t("orders").where("o_orderpriority = '1-URGENT'").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-    edges = trade.where("c_nationkey <> s_nationkey").select(F.col("c_nationkey").cast("long").alias("src"), F.col("s_nationkey").cast("long").alias("dst"))
-    nodes = t("nation").select(F.col("n_nationkey").cast("long").alias("doc_id"))
-    return links.pagerank(nodes, edges, rounds=ROUNDS).select("doc_id", F.round("rank", 9).alias("rank"))
-
-
-@query(WHOLE_RANK_SQL)
-def pagerank_nations_whole(spark, sf_dir):
-    """Over the orders of every priority, at the operator's own number of rounds."""
+    """Trade between nations, over all orders."""
     t = lambda n: table(spark, sf_dir, n)
     trade = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     edges = trade.where("c_nationkey <> s_nationkey").select(F.col("c_nationkey").cast("long").alias("src"), F.col("s_nationkey").cast("long").alias("dst"))
@@ -58,23 +44,28 @@ def queries_of(spark, sf_dir):
 
 @query(f"WITH {VEC}, s AS (SELECT q.vec_id AS query_id, v.vec_id AS doc_id, list_dot_product(q.e, v.e) AS sim FROM v q JOIN v ON q.vec_id % 20 = 0) SELECT query_id, doc_id, round(sim, 6) AS sim, rank::BIGINT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 9) DESC, doc_id) AS rank FROM s) WHERE rank <= 10")
 def cosine_topk(spark, sf_dir):
-    s = semantic.similarities(queries_of(spark, sf_dir), vectors(spark, sf_dir)).select("query_id", F.col("passage_idx").alias("doc_id"), F.col("sim").alias("score"))
-    top = R.top(s, 10, [F.desc(F.round("score", 9)), F.asc("doc_id")])
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    top = semantic.nearest(queries_of(spark, sf_dir), v, 10)
     return top.select("query_id", "doc_id", F.round("score", 6).alias("sim"), F.col("rank").cast("long").alias("rank"))
 
 
-@query(f"WITH {VEC}, s AS (SELECT q.vec_id AS query_id, v.label::BIGINT AS doc_id, max(list_dot_product(q.e, v.e)) AS sim FROM v q JOIN v ON q.vec_id % 20 = 0 GROUP BY ALL) SELECT query_id, doc_id, round(sim, 6) AS sim FROM s")
+@query(f"WITH {VEC}, s AS (SELECT q.vec_id AS query_id, v.label::BIGINT AS doc_id, v.vec_id AS passage_idx, list_dot_product(q.e, v.e) AS sim FROM v q JOIN v ON q.vec_id % 20 = 0) SELECT query_id, doc_id, round(max(sim), 6) AS sim, first(passage_idx ORDER BY sim DESC, passage_idx DESC) AS passage_idx FROM s GROUP BY ALL HAVING max(sim) > 0")
 def maxpool_topk(spark, sf_dir):
-    m = semantic.max_pooled(semantic.similarities(queries_of(spark, sf_dir), vectors(spark, sf_dir)))
-    return m.select("query_id", "doc_id", F.round("score", 6).alias("sim"))
+    """The best passage of each document, and which one it is, for documents with a positive one."""
+    m = semantic.pooled(queries_of(spark, sf_dir), vectors(spark, sf_dir))
+    return m.select("query_id", "doc_id", F.round("score", 6).alias("sim"), "passage_idx")
+
 
+GRAPH_RANK = "((vec_id * 37) % 101) / 101.0"
 
-@query(f"""WITH {VEC}, n AS (SELECT vec_id, e FROM v ORDER BY vec_id LIMIT 400), p AS (SELECT a.vec_id AS a, b.vec_id AS b, list_dot_product(a.e, b.e) AS sim FROM n a JOIN n b ON a.vec_id <> b.vec_id),
-k AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) AS rn FROM p WHERE sim >= 0.3)
+
+@query(f"""WITH {VEC}, n AS (SELECT vec_id, e FROM v ORDER BY {GRAPH_RANK} DESC, vec_id LIMIT 1500), p AS (SELECT a.vec_id AS a, b.vec_id AS b, list_dot_product(a.e, b.e) AS sim FROM n a JOIN n b ON a.vec_id <> b.vec_id),
+k AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) AS rn FROM p WHERE sim >= 0.5)
 SELECT least(a, b) AS a, greatest(a, b) AS b, round(max(sim), 6) AS sim FROM k WHERE rn <= 4 GROUP BY 1, 2""")
 def graph_edges(spark, sf_dir):
-    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    return semantic.similarity_graph(v, 400, 4, 0.3).select("a", "b", F.round("sim", 6).alias("sim"))
+    """The feature's greatest graph: 1500 nodes of highest rank, links from 0.5 on."""
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding", F.expr(GRAPH_RANK).alias("rank"))
+    return semantic.similarity_graph(v, 1500).select("a", "b", F.round("sim", 6).alias("sim"))
 
 
 @query()
@@ -82,10 +73,47 @@ def ann_lsh_recall(spark, sf_dir):
     """query_id, found, wanted: how many of the exact ten nearest the hashed search has."""
     exact = cosine_topk(spark, sf_dir).select("query_id", "doc_id")
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.lit(0).alias("passage_idx"), "embedding")
-    near = semantic.approximate(queries_of(spark, sf_dir), v, 64, 10, tables=24, bits=5).select("query_id", "doc_id", F.lit(1).alias("hit"))
+    near = semantic.approximate(queries_of(spark, sf_dir), v, 64, 10, tables=48, bits=5).select("query_id", "doc_id", F.lit(1).alias("hit"))
     return exact.join(near, ["query_id", "doc_id"], "left").groupBy("query_id").agg(F.count("hit").alias("found"), F.count("*").alias("wanted"))
 
 
+#: Home, name and text of each site's card.
+LAUNCH = [
+    ('https://www.youtube.com', 'YouTube', 'YouTube — video lectures, talks, and tutorials. Quick-launch shortcut: !yt (yt youtube).'),
+    ('https://github.com', 'GitHub', 'GitHub — source code, repositories, and projects. Quick-launch shortcut: !gh (gh github).'),
+    ('https://www.overleaf.com', 'Overleaf', 'Overleaf — collaborative LaTeX papers and templates. Quick-launch shortcut: !ol (ol overleaf).'),
+    ('https://stackoverflow.com', 'Stack Overflow', 'Stack Overflow — programming questions and answers. Quick-launch shortcut: !so (so stackoverflow).'),
+    ('https://en.wikipedia.org', 'Wikipedia', 'Wikipedia — the free encyclopedia. Quick-launch shortcut: !w (w wiki wikipedia).'),
+    ('https://arxiv.org', 'arXiv', 'arXiv — open-access e-prints in physics, math, and CS. Quick-launch shortcut: !ax (ax arxiv).'),
+    ('https://scholar.google.com', 'Google Scholar', 'Google Scholar — scholarly papers and citations. Quick-launch shortcut: !sc (sc scholar).'),
+    ('https://www.wolframalpha.com', 'Wolfram Alpha', 'Wolfram Alpha — computational answers and math. Quick-launch shortcut: !wa (wa wolfram).'),
+    ('https://developer.mozilla.org', 'MDN Web Docs', 'MDN Web Docs — web platform and JavaScript reference. Quick-launch shortcut: !mdn (mdn).'),
+    ('https://www.linkedin.com', 'LinkedIn', 'LinkedIn — professional network, jobs, and people. Quick-launch shortcut: !li (li linkedin).'),
+    ('https://medium.com', 'Medium', 'Medium — articles, essays, and technical blogs. Quick-launch shortcut: !md (md medium).'),
+    ('https://www.kaggle.com', 'Kaggle', 'Kaggle — datasets, notebooks, and ML competitions. Quick-launch shortcut: !kg (kg kaggle).'),
+    ('https://www.reddit.com', 'Reddit', 'Reddit — communities and discussion threads. Quick-launch shortcut: !r (r reddit).'),
+    ('https://news.ycombinator.com', 'Hacker News', 'Hacker News — startup and technology news. Quick-launch shortcut: !hn (hn hackernews).'),
+    ('https://dev.to', 'DEV Community', 'DEV Community — developer articles and discussion. Quick-launch shortcut: !dev (dev devto).'),
+    ('https://huggingface.co', 'Hugging Face', 'Hugging Face — models, datasets, and ML spaces. Quick-launch shortcut: !hf (hf huggingface).'),
+    ('https://chatgpt.com', 'ChatGPT', "ChatGPT — OpenAI's chat assistant. Quick-launch shortcut: !gpt (gpt chatgpt)."),
+    ('https://claude.ai', 'Claude', "Claude — Anthropic's AI assistant. Quick-launch shortcut: !cl (cl claude)."),
+    ('https://www.npmjs.com', 'npm', 'npm — JavaScript package registry. Quick-launch shortcut: !npm (npm).'),
+    ('https://crates.io', 'crates.io', 'crates.io — the Rust package registry. Quick-launch shortcut: !cr (cr crates).'),
+    ('https://pypi.org', 'PyPI', 'PyPI — the Python package index. Quick-launch shortcut: !pypi (pypi).'),
+    ('https://www.google.com', 'Google', 'Google — the web search engine. Quick-launch shortcut: !g (g google).'),
+    ('https://duckduckgo.com', 'DuckDuckGo', 'DuckDuckGo — privacy-first web search. Quick-launch shortcut: !ddg (ddg).'),
+    ('https://mail.google.com', 'Gmail', 'Gmail — your email. Quick-launch shortcut: !gm (gm gmail).'),
+    ('https://maps.google.com', 'Google Maps', 'Google Maps — maps, directions, and places. Quick-launch shortcut: !maps (maps gmaps).'),
+    ('https://drive.google.com', 'Google Drive', 'Google Drive — your files and documents. Quick-launch shortcut: !drive (drive gdrive).'),
+    ('https://x.com', 'X (Twitter)', 'X (Twitter) — posts and real-time updates. Quick-launch shortcut: !x (x twitter).'),
+    ('https://www.amazon.com', 'Amazon', 'Amazon — online shopping. Quick-launch shortcut: !az (az amazon).'),
+    ('https://www.netflix.com', 'Netflix', 'Netflix — films and series. Quick-launch shortcut: !nf (nf netflix).'),
+    ('https://open.spotify.com', 'Spotify', 'Spotify — music and podcasts. Quick-launch shortcut: !sp (sp spotify).'),
+    ('https://www.imdb.com', 'IMDb', 'IMDb — films, TV, and cast. Quick-launch shortcut: !imdb (imdb).'),
+    ('https://www.twitch.tv', 'Twitch', 'Twitch — live streams and gaming. Quick-launch shortcut: !tw (tw twitch).'),
+    ('https://www.notion.so', 'Notion', 'Notion — notes, docs, and wikis. Quick-launch shortcut: !nt (nt notion).'),
+    ('https://www.figma.com', 'Figma', 'Figma — collaborative design. Quick-launch shortcut: !fig (fig figma).'),
+]
 BANGS = [(0, "!gh rust async"), (1, "!yt"), (2, "!nope something"), (3, "!so how to do x?"), (4, "cats !w big")]
 
 
@@ -94,7 +122,7 @@ def bang_resolve(spark, sf_dir):
     return shortcuts.resolve(literal(spark, BANGS, "query_id long, q string"))
 
 
-@query(f"SELECT home AS url, name AS title, name || ' — ' || blurb || '. Quick-launch shortcut: !' || keys[1] || ' (' || array_to_string(keys, ' ') || ').' AS text FROM (VALUES {', '.join('(' + repr(k) + ', ' + values([(n, h, b)])[1:] for _, k, n, h, _, b in shortcuts.site_rows())}) t(keys, name, home, blurb)")
+@query(f"SELECT url, title, text FROM (VALUES {', '.join('(' + values([(home, name, text)])[1:] for home, name, text in LAUNCH)}) t(url, title, text)")
 def launch_cards(spark, sf_dir):
     return shortcuts.launch_cards(spark)
 
@@ -244,14 +272,18 @@ def url_pattern_grades(spark, sf_dir):
     return evaluate.graded(r, q).select("query_id", F.col("rank").cast("long").alias("rank"), F.col("grade").cast("long").alias("grade"))
 
 
-ORDERS = [("3,1,4,2", 4, "2,0,3,1"), ("I think 2 then 1", 4, "1,0,2,3"), ("9 and 1", 3, "0,1,2"), ("none", 3, None)]
+ORDERS = [("3,1,4,2", 4, "2,0,3,1"), ("I think 2 then 1", 4, "1,0,2,3"), ("9 and 1", 3, "0,1,2"), ("none", 3, "0,1,2")]
 
 
 @query(f"SELECT * FROM (VALUES {values([(a, c) for a, _, c in ORDERS])}) t(reply, parsed)")
 def rerank_reply(spark, sf_dir):
-    return literal(spark, [(a, ",".join(map(str, o)) if (o := shape.parse_order(a, n)) is not None else None) for a, n, _ in ORDERS], "reply string, parsed string")
+    """The order that each reply puts its hits in; hits are named by their places."""
+    asked = literal(spark, [(i, a, n) for i, (a, n, _) in enumerate(ORDERS)], "query_id long, q string, n int")
+    hits = asked.select("query_id", "q", F.explode(F.sequence(F.lit(1), "n")).alias("rank")).select("query_id", "q", "rank", (F.col("rank") - 1).cast("string").alias("title"), F.lit("").alias("snippet"))
+    done = shape.rerank(hits, lambda q, items: q).groupBy("query_id", F.col("q").alias("reply"))
+    return done.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "title"))), lambda x: x["title"]), ",").alias("parsed")).select("reply", "parsed")
 
 
-@query("SELECT item_id, md5(trim(substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 8000))) AS digest FROM benchmark")
+@query("SELECT doc_id, md5(substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 8000)) AS digest FROM documents")
 def stored_text(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").select("item_id", F.md5(T.stored_text(F.col("text"))).alias("digest"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.stored_text(F.col("text"))).alias("digest"))

@@ -123,14 +123,45 @@ def page_docs(spark, sf_dir):
     return pages(spark, sf_dir).select("page_id", "url", html.title(F.col("html")).alias("title"), F.col("html").alias("text"), F.lit(0).cast("long").alias("published"))
 
 
-@query(f"WITH {PAGE_DOCS} SELECT page_id FROM pd WHERE {_any('h', verticals.DOCS_HOST)} OR {_any('h', verticals.DOCS_HOST_START, 'startswith')} OR {_any('u', verticals.DOCS_URL)} OR {_any('t', verticals.DOCS_TITLE)}")
+#: Pages of many sites: url, title and text of each page by its id, so that every mark of a vertical occurs.
+SITED = [
+    ("https://docs.x.org/a", "plain", ""), ("https://developer.x.org/a", "plain", ""), ("https://en.cppreference.com/w", "plain", ""), ("https://pkg.go.dev/net", "plain", ""), ("https://doc.x.org/b", "plain", ""),
+    ("https://x.org/docs/a", "plain", ""), ("https://x.org/Doc/a", "plain", ""), ("https://x.org/reference/a", "plain", ""), ("https://x.org/guide/a", "plain", ""), ("https://x.org/book/a", "plain", ""), ("https://x.org/manual/a", "plain", ""),
+    ("https://x.org/1", "The Documentation", ""), ("https://x.org/2", "A Reference", ""), ("https://x.org/3", "User guide", ""), ("https://x.org/4", "Manual of arms", ""),
+    ("https://github.com/o/r", "plain", ""), ("https://gitlab.x.org/o", "plain", ""), ("https://crates.io/crates/c", "plain", ""), ("https://www.npmjs.com/p", "plain", ""), ("https://pypi.org/project/p", "plain", ""),
+    ("https://x.org/src/a", "plain", ""), ("https://x.org/source/a", "plain", ""), ("https://x.org/api/a", "plain", ""), ("https://x.org/a.rs", "plain", ""), ("https://x.org/a.go", "plain", ""), ("https://x.org/a.py", "plain", ""), ("https://x.org/a.js", "plain", ""),
+    ("https://x.org/5", "An API", ""), ("https://x.org/6", "Module m", ""), ("https://x.org/7", "Package p", ""), ("https://x.org/8", "plain", "a fn main"), ("https://x.org/9", "plain", "a Func f"), ("https://x.org/10", "plain", "class C"), ("https://x.org/11", "plain", "const C"), ("https://x.org/12", "plain", "import os"), ("https://x.org/13", "plain", "package main"),
+    ("https://news.x.org/a", "plain", "plain"), ("https://x.org/14", "plain", "function"), ("https://x.org/docx", "reverence", "imports"), ("https://x.org/a.rs.html", "mod", "fnord"),
+]
+IN_DOCS = [True] * 15 + [False] * 25
+IN_CODE = [False, False, False, True] + [False] * 11 + [True] * 21 + [False] * 4
+
+
+def sited(spark, sf_dir):
+    rows = literal(spark, [(i, *r) for i, r in enumerate(SITED)], "n int, site string, title string, text string")
+    of = pages(spark, sf_dir).select("page_id", (F.col("page_id") % len(SITED)).cast("int").alias("n"))
+    return of.join(F.broadcast(rows), "n").select("page_id", F.col("site").alias("url"), "title", "text", F.lit(0).cast("long").alias("published"))
+
+
+def _in(flags: list[bool]) -> str:
+    return f"SELECT page_id FROM pages WHERE page_id % {len(SITED)} IN ({', '.join(str(i) for i, f in enumerate(flags) if f)})"
+
+
+@query(_in(IN_DOCS))
 def vertical_docs(spark, sf_dir):
-    return verticals.vertical(page_docs(spark, sf_dir), "docs").select("page_id")
+    return verticals.vertical(sited(spark, sf_dir), "docs").select("page_id")
 
 
-@query(f"WITH {PAGE_DOCS} SELECT page_id FROM pd WHERE {_any('h', verticals.CODE_HOST)} OR {_any('u', verticals.CODE_URL)} OR {_any('u', verticals.CODE_URL_END, 'endswith')} OR {_any('t', verticals.CODE_TITLE)} OR {_any('lower(x)', verticals.CODE_TEXT)}")
+@query(_in(IN_CODE))
 def vertical_code(spark, sf_dir):
-    return verticals.vertical(page_docs(spark, sf_dir), "code").select("page_id")
+    return verticals.vertical(sited(spark, sf_dir), "code").select("page_id")
+
+
+@query("SELECT page_id FROM pages WHERE page_id % 3 = 0")
+def vertical_images(spark, sf_dir):
+    one = F.array(F.struct(F.lit("https://x.org/i.png").alias("url"), F.lit("").alias("alt")))
+    docs = pages(spark, sf_dir).select("page_id", F.when(F.col("page_id") % 3 == 0, one).otherwise(F.array().cast("array<struct<url:string,alt:string>>")).alias("images"))
+    return verticals.vertical(docs.withColumns({"url": F.lit(""), "title": F.lit(""), "text": F.lit(""), "published": F.lit(0)}), "images").select("page_id")
 
 
 LEAD = "lower(substr(x, 1, 2000))"

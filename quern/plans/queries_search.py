@@ -36,7 +36,7 @@ QT = f"qt AS (SELECT 0::BIGINT AS query_id, unnest({TERMS!r}) AS term)"
 
 
 def simple_index(spark, sf_dir) -> I.Index:
-    return I.build(corpus(spark, sf_dir))
+    return I.build(corpus(spark, sf_dir), unique=True)
 
 
 def benchmark_terms(spark, sf_dir):
@@ -79,7 +79,7 @@ def porter_known_cases(spark, sf_dir):
 
 @query()
 def stem_document_frequency(spark, sf_dir):
-    return I.build(corpus(spark, sf_dir), stemmed=True).doc_frequency()
+    return I.build(corpus(spark, sf_dir), stemmed=True, unique=True).doc_frequency()
 
 
 @query(f"WITH {POSTINGS} SELECT n::BIGINT AS n, round(at_, 6) AS avg_title, round(ab, 6) AS avg_body FROM stats")
@@ -177,14 +177,14 @@ def filter_exclude_term(spark, sf_dir):
     return _filtered(spark, sf_dir, "-reed")
 
 
-@query(f"WITH {PLACED} SELECT doc_id FROM placed WHERE title AND term IN ('er', 'than') GROUP BY doc_id HAVING count(DISTINCT term) = 2")
+@query(f"WITH {PLACED} SELECT doc_id FROM placed WHERE title AND term IN ('anea', 'attion') GROUP BY doc_id HAVING count(DISTINCT term) = 2")
 def filter_intitle(spark, sf_dir):
-    return _filtered(spark, sf_dir, "intitle:er intitle:than")
+    return _filtered(spark, sf_dir, "intitle:anea intitle:Attion")
 
 
-@query(f"WITH {DOCS} SELECT doc_id FROM docs WHERE contains(lower(url), '/en/') AND contains(lower(url), 'src1')")
+@query(f"WITH {DOCS} SELECT doc_id FROM docs WHERE contains(lower(url), 'en') AND contains(lower(url), 'src1')")
 def filter_inurl(spark, sf_dir):
-    return _filtered(spark, sf_dir, "inurl:en/ inurl:src1").join(corpus(spark, sf_dir).where("url like '%/en/%'").select("doc_id"), "doc_id")
+    return _filtered(spark, sf_dir, "inurl:EN/ inurl:src1")
 
 
 @query(f"WITH {DOCS} SELECT doc_id FROM docs WHERE starts_with(regexp_replace(lower(url), '^https://', ''), 'src1.example.com/en') OR starts_with(regexp_replace(lower(url), '^https://', ''), 'src2.example.com')")
@@ -202,9 +202,21 @@ def filter_only_seed(spark, sf_dir):
     q = literal(spark, [(0, "site:src3.example.com after:2023-01-01"), (1, "-reed")], "query_id long, q string")
     engine = Engine(simple_index(spark, sf_dir))
     p = parsed(q, False)
-    positive = (F.size("sites") > 0) | F.col("after").isNotNull()
-    seeds = p.where((F.size("terms") == 0) & positive).select("query_id").crossJoin(engine.index.documents.select("doc_id")).withColumn("score", F.lit(1.0))
-    return engine._filtered(seeds, p, engine.index.documents)
+    return engine._filtered(engine.seeds(p, engine.index.documents), p, engine.index.documents)
+
+
+#: Pages of several kinds: the extension follows from the id.
+KINDS = "CASE doc_id % 4 WHEN 0 THEN '.PDF?page=2' WHEN 1 THEN '/notes.txt#top' WHEN 2 THEN '.html' ELSE '' END"
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id % 4 IN (0, 1)")
+def filter_filetype(spark, sf_dir):
+    """filetype: on documents whose urls end in .PDF, .txt, .html or nothing."""
+    docs = corpus(spark, sf_dir)
+    engine = Engine(I.build(docs.withColumn("url", F.concat("url", F.expr(KINDS))), unique=True))
+    q = parsed(literal(spark, [(0, "filetype:pdf filetype:.txt")], "query_id long, q string"), False)
+    every = engine.index.documents.select(F.lit(0).cast("long").alias("query_id"), "doc_id", F.lit(1.0).alias("score"))
+    return engine._filtered(every, q, engine.index.documents).select("doc_id")
 
 
 OPERATORS = ['rust OR ownership site:doc.rust-lang.org -unsafe intitle:book filetype:pdf inurl:guide after:2025 "borrow checker"', "-site:x after:1970 filetype:. plain", '"open quote runs']
@@ -240,14 +252,6 @@ def snippet_window(spark, sf_dir):
     return rows.select("doc_id", F.col("start").cast("long").alias("start"), hits.cast("long").alias("hits"))
 
 
-@query(f"""WITH {DOCS}, w AS (SELECT doc_id, {words_sql("substr(text, 1, 600)")} AS ws FROM docs WHERE len({words_sql("substr(text, 1, 600)")}) BETWEEN 1 AND 32)
-SELECT doc_id, array_to_string([CASE WHEN list_has_any({tok("x")}, {TERMS!r}) THEN '<mark>' || replace(replace(replace(replace(x, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') || '</mark>' ELSE replace(replace(replace(replace(x, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') END for x in ws], ' ') AS snippet FROM w""")
-def snippet_marked(spark, sf_dir):
-    d = corpus(spark, sf_dir).withColumn("text", F.substring("text", 1, 600))
-    n = F.size(F.filter(F.split("text", r"(?U)\s+"), lambda w: w != ""))
-    return d.where(n.between(1, 32)).select("doc_id", T.snippet(F.col("text"), F.array(*map(F.lit, TERMS))).alias("snippet"))
-
-
 @query(f"""WITH {DOCS}, w AS (SELECT doc_id, {words_sql("text")} AS ws FROM docs),
 f AS (SELECT doc_id, generate_subscripts(ws, 1) - 1 AS i, unnest(ws) AS word, len(ws) AS n FROM w),
 m AS (SELECT *, list_has_any({tok("word")}, {TERMS!r})::INT AS hit FROM f),
@@ -255,7 +259,7 @@ c AS (SELECT doc_id, i, n, sum(hit) OVER (PARTITION BY doc_id ORDER BY i ROWS BE
 s AS (SELECT doc_id, first(i ORDER BY hits DESC, i) AS start FROM c WHERE i <= greatest(n - 32, 0) GROUP BY doc_id),
 b AS (SELECT doc_id, ws, coalesce(start, 0) AS start FROM w LEFT JOIN s USING (doc_id))
 SELECT doc_id, CASE WHEN start > 0 THEN '… ' ELSE '' END || array_to_string([CASE WHEN list_has_any({tok("x")}, {TERMS!r}) THEN '<mark>' || replace(replace(replace(replace(x, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') || '</mark>' ELSE replace(replace(replace(replace(x, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') END for x in ws[start + 1 : start + 32]], ' ') || CASE WHEN start + 32 < len(ws) THEN ' …' ELSE '' END AS snippet FROM b""")
-def snippet_whole(spark, sf_dir):
+def snippet_marked(spark, sf_dir):
     """The marked best window of every whole text."""
     return corpus(spark, sf_dir).select("doc_id", T.snippet(F.col("text"), F.array(*map(F.lit, TERMS))).alias("snippet"))
 
@@ -344,16 +348,10 @@ def hybrid_search(spark, sf_dir):
     vectors = semantic.embedded(semantic.passages(docs), embed)
     words = F.array_join(F.slice(F.split("text", r"\s+"), 1, 6), " ")
     q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), words.alias("q"))
-    hits = Engine(I.build(docs, stemmed=True), vectors, embed).search(q, Options(k=10))
+    hits = Engine(I.build(docs, stemmed=True, unique=True), vectors, embed).search(q, Options(k=10))
     return hits.select("query_id", "rank", "doc_id", "url", F.round("score", 6).alias("score"), "snippet")
 
 
-@query()
-def hash_embedding(spark, sf_dir):
-    v = semantic.embedded(semantic.passages(corpus(spark, sf_dir)), semantic.hash_embedder())
-    return v.select("doc_id", "passage_idx", F.size("embedding").alias("dim"), F.round(semantic.dot(F.col("embedding"), F.col("embedding")), 4).alias("norm"))
-
-
 @query(f"""WITH {BENCH_TERMS}, {BM25}, lex AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM bm),
 r AS (SELECT query_id, rank, doc_id, regexp_extract(url, '^https://([^/]*)', 1) AS host FROM lex JOIN docs USING (doc_id) WHERE rank <= 40),
 t AS (SELECT query_id, host, count(*) FILTER (rank <= 8) AS n FROM r GROUP BY ALL), m AS (SELECT query_id, max(n) AS most, count(*) AS hosts FROM t GROUP BY 1), c AS (SELECT query_id, count(*) AS n FROM r GROUP BY 1),

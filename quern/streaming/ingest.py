@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions.text import suggest_form
-from quern.operators.index import build
+from quern.operators.index import Index, build
 from quern.sources.records import parse_records
 
 RECORD_FILES = "value string"
@@ -22,11 +22,11 @@ def ingest_batch(spark: SparkSession, root: str, records: DataFrame, batch_id: i
     try:
         received = records.count()
         known = _table(spark, root, "documents")
-        fresh = records.dropDuplicates(["url"])
+        fresh = first_by_url(records)
         if known is not None:
             fresh = fresh.join(known.where(F.col("batch") != batch_id).select("url"), "url", "left_anti")
         fresh = fresh.withColumn("doc_id", F.monotonically_increasing_id() + F.lit(batch_id * (1 << 40)))
-        index = build(fresh, stemmed)
+        index = build(fresh, stemmed, unique=True)
         index.documents.write.mode("overwrite").parquet(f"{root}/documents/batch={batch_id}")
         index.postings.write.mode("overwrite").parquet(f"{root}/postings/batch={batch_id}")
         added = spark.read.parquet(f"{root}/documents/batch={batch_id}").count()
@@ -35,10 +35,24 @@ def ingest_batch(spark: SparkSession, root: str, records: DataFrame, batch_id: i
         records.unpersist()
 
 
+def first_by_url(records: DataFrame) -> DataFrame:
+    """The first record of each url, in the order of the batch."""
+    placed = records.select(F.col("url"), F.struct(*records.columns).alias("record"), F.monotonically_increasing_id().alias("seen"))
+    return placed.groupBy("url").agg(F.min_by("record", "seen").alias("record")).select("record.*")
+
+
+def load_ingested(spark: SparkSession, root: str, stemmed: bool = False) -> Index:
+    """The index of all batches. Should two writers have added a url at once, the lower batch has it."""
+    documents, postings = _table(spark, root, "documents"), _table(spark, root, "postings")
+    owner = documents.groupBy("url").agg(F.min("batch").alias("batch"))
+    kept = documents.join(owner, ["url", "batch"], "left_semi").drop("batch")
+    return Index(kept, postings.join(kept.select("doc_id"), "doc_id", "left_semi").drop("batch"), stemmed)
+
+
 def dry_run(spark: SparkSession, root: str, records: DataFrame) -> dict:
     """The counts that ``ingest_batch`` would give, without writing."""
     known = _table(spark, root, "documents")
-    fresh = records.dropDuplicates(["url"])
+    fresh = records.select("url").distinct()
     if known is not None:
         fresh = fresh.join(known.select("url"), "url", "left_anti")
     received, added = records.count(), fresh.count()

@@ -7,7 +7,7 @@ from quern.plans import catalog
 
 
 def test_snippets_of_whole_texts(spark, data):
-    got = {r.doc_id: r.snippet for r in catalog.QUERIES["snippet_whole"](spark, data).collect()}
+    got = {r.doc_id: r.snippet for r in catalog.QUERIES["snippet_marked"](spark, data).collect()}
     texts = {r["doc_id"]: r["text"] for r in pq.read_table(f"{data}/documents.parquet", columns=["doc_id", "text"]).to_pylist()}
     assert got.keys() == texts.keys()
     long = {i for i, t in texts.items() if len(t.split()) > 32}
@@ -30,5 +30,5 @@ def test_pagerank_of_all_orders(spark, data):
         for a, b in edges:
             new[b] += 0.85 * rank[a] / out[a]
         rank = new
-    got = {r.doc_id: r.rank for r in catalog.QUERIES["pagerank_nations_whole"](spark, data).collect()}
+    got = {r.doc_id: r.rank for r in catalog.QUERIES["pagerank_nations"](spark, data).collect()}
     assert got.keys() == rank.keys() and all(abs(got[n] - rank[n]) < 1e-8 for n in nodes)
