@@ -39,7 +39,7 @@ from quern.llm.common import NO_ID, Scratch, held, lean, whole_ids
 MAGIC = b"QTOK0001"
 BLOCK = 1 << 16
 END_ID = 2
-CACHED = 250_000  # words whose ids a worker remembers
+CACHED = 200_000  # words whose ids a worker remembers, in each of two generations
 LONGEST = 48  # longer ones are not remembered
 PART_BYTES = 64 << 20  # of text in a part of the range exchange, at most about
 LEAST_PART_BYTES = 4 << 20  # of text in a part where there are fewer parts than shuffle partitions
@@ -174,14 +174,19 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith(WORD_END)]] = True
+        # Words are cut and in lower case already: a tokenizer of the same model without these steps encodes them.
+        bare = form | {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, *(form["pre_tokenizer"] or {}).get("pretokenizers", [])[1:]]}}
+        self.bare = Tokenizer.from_str(json.dumps(bare)) if self.by_word else None
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.batch([text], add_special_tokens=False)[0].ids, "<u4")
 
     def learn(self, words: list[str]) -> dict[str, bytes]:
         """The ids of distinct words."""
-        ids = self.whole(" ".join(words))
+        run = getattr(self.bare, "encode_batch_fast", self.bare.encode_batch)
+        ids = np.array(run([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
         stops = np.nonzero(self.ends[ids])[0] + 1
         if len(stops) != len(words) or (len(ids) and stops[-1] != len(ids)):
             return {w: self.whole(w).tobytes() for w in words}
@@ -195,11 +200,12 @@ class Encoder:
         words = PLAIN_WORDS.findall(text.lower())
         got = list(map(self.known.get, words))
         if None in got:
-            made = self.learn(list({w for w, g in zip(words, got) if g is None}))
+            made = {w: self.older.get(w) for w, g in zip(words, got) if g is None}
+            made |= self.learn([w for w, g in made.items() if g is None])
             got = [made[w] if g is None else g for w, g in zip(words, got)]
-            if len(self.known) + len(made) > CACHED:
-                self.known = {}
-            self.known.update((w, g) for w, g in list(made.items())[:CACHED] if len(w) <= LONGEST)
+            self.known.update((w, g) for w, g in made.items() if len(w) <= LONGEST)
+            if len(self.known) > CACHED:
+                self.known, self.older = {}, self.known
         return b"".join(got)
 
 
