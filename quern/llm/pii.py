@@ -1,15 +1,20 @@
 """PII by bootstrapped contextual extraction, with DataFrame functions only.
 
 1. Seeds: the base rules (fixed values) find emails, IPv4 addresses, card and phone numbers.
-2. Every identifier-like token (a digit or @ in it, 6 to 64 characters) is an instance; the word
-   before it, and the one after it, are lexical patterns. Pattern-instance edges are counted over
-   all documents.
-3. A pattern's confidence is the share of its edges that lead to trusted instances, an instance's
-   trust one minus the product of its patterns' doubts; both are computed again for ROUNDS rounds.
-4. Tokens that no base rule covers but whose trust reaches TRUST become spans of kind ``context``.
-
-Defined cases: null text counts as empty; a null doc_id is kept; repeated rows are scanned each by
-itself; an empty table gives an empty result. Base spans are never changed by the method.
+2. Every token with a digit or @ in it, of any length, is an instance. Its lexical patterns are the word
+   before it, the word after it, and its own shape (digits as 9, runs of letters as a). Pattern-instance
+   edges are counted over all documents, each pair once.
+3. A pattern's confidence is the share of its instances that are accepted, which are the seeds at first;
+   patterns with too few accepted instances or too low a confidence count for nothing. An instance's
+   trust is one minus the product of its patterns' doubts; those whose trust reaches TRUST are accepted
+   too. Both are worked out again until no instance is added; as none is ever given up, that ends.
+4. Accepted tokens that no base rule covers become spans of kind ``context``.
+
+A shape alone never reaches TRUST, nor does a word; it takes both, or two words, to accept an instance.
+
+Defined cases: null text counts as empty; a null doc_id is kept, ids of any type are; repeated rows are
+scanned each by itself; an empty table gives an empty result; further columns are ignored. Base spans
+are never changed by the method.
 """
 
 from __future__ import annotations
@@ -17,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import NO_ID, Scratch
+from quern.llm.common import Scratch, id_key
 from quern.llm.spans import SPAN, bare, count_of, found, joined, ordered
 
 # Kinds in listed order and the limits of their tests.
@@ -32,10 +37,11 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 STOP = r"\s|,;:\"'<>\[\]{}="
 TOKEN = rf"(?<![^{STOP}])[^{STOP}0-9@]*+[0-9@][^{STOP}]*+"
-ROUNDS = 3
-LEAST_PATTERN = 3  # distinct trusted instances that a pattern needs
-LEAST_CONFIDENCE = 0.8
+LEAST_PATTERN = 3  # accepted instances that a pattern needs
+LEAST_CONFIDENCE = {"b": 0.8, "a": 0.8, "s": 0.5}  # of words before, words after and shapes
+MOST_CONFIDENCE = 0.89  # below TRUST
 TRUST = 0.9
+NEAR = 200  # characters beside a token that are looked at first for its words
 
 
 def luhn(digits: Column) -> Column:
@@ -55,47 +61,63 @@ def base_spans(text: Column) -> Column:
 
 
 def instances(text: Column) -> Column:
-    """array<struct<start, stop, value, before, after>> of the identifier-like tokens of a text."""
-    tokens = F.filter(found(text, "token", TOKEN, text.rlike("[0-9@]")), lambda t: F.length(t["value"]).between(6, 64))
-    before = lambda g: F.regexp_extract(F.lower(F.right(g, F.lit(40))), r"(\w+)\W*$", 1)
-    after = lambda g: F.regexp_extract(F.lower(F.left(g, F.lit(40))), r"^\W*(\w+)", 1)
-    return F.transform(tokens, lambda t: F.struct(t["start"].alias("start"), t["stop"].alias("stop"), F.rtrim(t["value"], F.lit(".!?)")).alias("value"), before(t["gap"]).alias("before"), after(t["next"]).alias("after")))
+    """array<struct<start, stop, value, before, after, shape>> of the identifier-like tokens of a text."""
+    tokens = found(text, "token", TOKEN, text.rlike("[0-9@]"))
 
+    def word(gap: Column, near: Column, inside: str, whole: str) -> Column:
+        """The word of a gap; only if its nearest part doesn't show one in full is all of it searched."""
+        return F.lower(F.coalesce(F.nullif(F.regexp_extract(near, inside, 1), F.lit("")), F.regexp_extract(gap, whole, 1)))
 
-def bootstrap(scratch: Scratch, found_in: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    before = lambda g: word(g, F.right(g, F.lit(NEAR)), r"\W(\w+)\W*$", r"(\w+)\W*$")
+    after = lambda g: word(g, F.left(g, F.lit(NEAR)), r"^\W*(\w+)\W", r"^\W*(\w+)")
+    shape = lambda v: F.regexp_replace(F.regexp_replace(v, "[0-9]", "9"), r"\p{L}+", "a")
+    bared = F.transform(tokens, lambda t: F.struct(t["start"].alias("start"), t["stop"].alias("stop"), F.rtrim(t["value"], F.lit(".!?)")).alias("value"), before(t["gap"]).alias("before"), after(t["next"]).alias("after")))
+    return F.transform(bared, lambda t: F.struct(t["start"].alias("start"), t["stop"].alias("stop"), t["value"].alias("value"), t["before"].alias("before"), t["after"].alias("after"), shape(t["value"]).alias("shape")))
+
+
+def bootstrap(scratch: Scratch, found_in: DataFrame) -> DataFrame:
     """(value) of the identifiers that no base rule finds but trusted patterns do.
 
-    ``found_in``: value, before, after, seed. Edges are summed by pattern and value first, so a
-    pattern or value that fills the corpus is one row from each task before the exchange.
+    ``found_in``: value, before, after, shape, seed. Edges are summed by pattern and value first, so a
+    pattern or value that fills the corpus is one row from each task before the exchange. What is
+    joined back to the edges is a table of its own, so that Spark can split a frequent pattern.
     """
-    pattern = F.explode(F.array(F.struct(F.lit("b").alias("side"), F.col("before").alias("word")), F.struct(F.lit("a").alias("side"), F.col("after").alias("word"))))
-    edges = found_in.select("value", "seed", pattern.alias("p")).where("p.word <> ''").groupBy("p.side", "p.word", "value").agg(F.max("seed").alias("seed"))
+    pattern = F.explode(F.array(*(F.struct(F.lit(side).alias("side"), F.col(c).alias("word")) for side, c in (("b", "before"), ("a", "after"), ("s", "shape")))))
+    edges = found_in.select("value", "seed", pattern.alias("p")).where("p.word <> '' and value <> ''").groupBy("p.side", "p.word", "value").agg(F.max("seed").alias("seed"))
     edges = scratch.table(edges, "edges")
-    values = edges.groupBy("value").agg(F.max(F.col("seed").cast("double")).alias("trust"))
-    for _ in range(rounds):
-        scored = edges.join(values, "value").groupBy("side", "word").agg(F.sum("trust").alias("good"), F.count("*").alias("n"))
-        good = scored.where((F.col("good") >= LEAST_PATTERN) & (F.col("good") / F.col("n") >= LEAST_CONFIDENCE)).select("side", "word", F.least(F.col("good") / (F.col("n") + 1), F.lit(0.999)).alias("conf"))
-        reached = edges.join(good, ["side", "word"], "left").groupBy("value").agg(F.max("seed").alias("seed"), F.sum(F.log(1 - F.coalesce("conf", F.lit(0.0)))).alias("doubt"))
-        values = scratch.table(reached.select("value", F.when(F.col("seed"), 1.0).otherwise(1 - F.exp("doubt")).alias("trust"), "seed"), "values")
-    return values.where((~F.col("seed")) & (F.col("trust") >= TRUST)).select("value")
-
-
-def extract(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    seeds = scratch.table(edges.groupBy("value").agg(F.max("seed").alias("seed")), "seeds")
+    accepted, n = seeds.where("seed").select("value"), -1
+    least = F.create_map(*(F.lit(x) for pair in LEAST_CONFIDENCE.items() for x in pair))
+    while n != (now := accepted.count()):
+        n = now
+        marked = edges.join(accepted.withColumn("good", F.lit(1)), "value", "left")
+        scored = marked.groupBy("side", "word").agg(F.count("good").alias("good"), F.count("*").alias("n"))
+        conf = F.least(F.col("good") / (F.col("n") + 1), F.lit(MOST_CONFIDENCE))
+        trusted = scored.where((F.col("good") >= LEAST_PATTERN) & (F.col("good") / F.col("n") >= least[F.col("side")])).select("side", "word", conf.alias("conf"))
+        trusted = scratch.table(trusted, "patterns")
+        reached = edges.join(trusted, ["side", "word"]).groupBy("value").agg(F.sum(F.log(1 - F.col("conf"))).alias("doubt"))
+        reached = reached.where(1 - F.exp("doubt") >= TRUST).select("value")
+        accepted = scratch.table(accepted.union(reached).distinct(), "accepted")
+    return accepted.join(seeds.where("seed"), "value", "left_anti")
+
+
+def extract(docs: DataFrame) -> DataFrame:
     """doc_id and spans (base ones by kind then start, then those found in context) of each row."""
     scratch = Scratch(docs.sparkSession, "pii")
     text = F.coalesce(F.col("text"), F.lit(""))
-    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("dk"), F.xxhash64(text).alias("th")]
+    key = [id_key(docs).alias("dk"), F.xxhash64(text).alias("th")]
     first = docs.select("doc_id", *key, bare(base_spans(text)).alias("spans"), instances(text).alias("tokens"))
     first = scratch.table(first, "spans")
     covered = F.exists("spans", lambda s: (s["start"] < F.col("t.stop")) & (s["stop"] > F.col("t.start")))
-    tokens = first.where(F.size("tokens") > 0).select("dk", "th", "spans", F.explode("tokens").alias("t")).select("dk", "th", "t.value", "t.before", "t.after", "t.start", covered.alias("seed"))
-    new = tokens.where(~F.col("seed")).join(bootstrap(scratch, tokens, rounds), "value")
+    tokens = first.where(F.size("tokens") > 0).select("dk", "th", "spans", F.explode("tokens").alias("t")).select("dk", "th", "t.value", "t.before", "t.after", "t.shape", "t.start", covered.alias("seed"))
+    tokens = scratch.table(tokens, "tokens")
+    new = tokens.where(~F.col("seed")).join(scratch.table(bootstrap(scratch, tokens), "found"), "value")
     stop = F.col("start") + F.length("value")
     new = new.select("dk", "th", F.struct(F.lit("context").alias("kind"), "start", stop.alias("stop"), "value").alias("s")).groupBy("dk", "th").agg(F.collect_set("s").alias("more"))
     return first.drop("tokens").join(new, ["dk", "th"], "left").select("doc_id", F.concat("spans", F.coalesce("more", F.array().cast(SPAN))).alias("spans"))
 
 
 def digest(by_row: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, then n_context and n_spans (all kinds)."""
     base = F.filter("spans", lambda s: s["kind"].isin(KINDS))
-    return by_row.select("doc_id", *(count_of(F.col("spans"), k).alias(f"n_{k}") for k in KINDS), F.sha2(joined(base), 256).alias("base_sha256"), joined(ordered(F.col("spans"), [*KINDS, "context"], by_kind=True)).alias("spans"))
+    return by_row.select("doc_id", *(count_of(F.col("spans"), k).alias(f"n_{k}") for k in KINDS), F.sha2(joined(base), 256).alias("base_sha256"), joined(ordered(F.col("spans"), [*KINDS, "context"], by_kind=True)).alias("spans"), count_of(F.col("spans"), "context").alias("n_context"), F.size("spans").cast("long").alias("n_spans"))
