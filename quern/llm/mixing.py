@@ -5,15 +5,21 @@ meets a target entropy or, with none given, the greatest exponent of repetition
 With ``budget="cover"`` the budget is the least that takes every document once, so sources are only
 repeated and nothing is left out; a number is a budget in tokens.
 
-A source's documents are permuted by a keyed hash and cut into blocks by the hash's leading bits.
-Each source gives all its documents ``floor(quota / tokens)`` times and then once more the leading part of its
-permutation that fits the rest of the quota. Where the cut falls is found block by block, then by
-ever smaller blocks inside the one that is cut, each from summed tokens: no source is gathered or
-sorted anywhere, however large it is.
+A token is a run of characters other than white space: shares are wanted before any tokenizer is chosen.
+
+A source's documents are permuted by a keyed hash, a place of 60 bits, and cut into blocks by the
+place's leading bits. Each source gives all its documents ``floor(quota / tokens)`` times and then once
+more the leading part of its permutation that fits the rest of the quota. Where the cut falls is found
+block by block, then by ever smaller blocks inside the one that is cut, each from summed tokens: no
+source is gathered or sorted anywhere, however large it is. ``realise`` returns the rows by epoch, then
+block, then place: as places are spread evenly in every source, sources are interleaved in proportion
+and copies of a document lie an epoch apart.
 
 Defined cases: null source is a source of its own; null or empty text has 0 tokens and, as it costs
-nothing, follows its place in the permutation; rows that tie in the hash (repeated rows) are taken or
-left together; an empty table gives an empty result. The exponent is 1 where no exponent in [0, 1] meets the aim.
+nothing, follows its place in the permutation; rows that tie in the hash (repeated rows and rows of one
+doc_id) are taken or left together; a null doc_id has a place like any other; an empty table gives an
+empty result; further columns are kept, whatever their names, but those that ``mix`` itself adds are
+replaced. The exponent is 1 where no exponent in [0, 1] meets the aim.
 """
 
 from __future__ import annotations
@@ -33,7 +39,7 @@ SEED = "mix"
 
 def n_tokens(text: Column) -> Column:
     """White-space separated words of a text."""
-    inner = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
+    inner = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[ \t\n\x0B\f\r]+", " "))
     return F.when(inner == "", 0).otherwise(F.length(inner) - F.length(F.replace(inner, F.lit(" "), F.lit(""))) + 1).cast("long")
 
 
@@ -106,23 +112,60 @@ def key_of() -> Column:
     return F.when(F.col("source").isNull(), "null").otherwise(F.concat(F.lit("="), F.col("source").cast("string"))).alias("key")
 
 
+PLACE_BITS = 60
+
+
 def place_of() -> Column:
-    """The place of a document in its source's permutation: 60 bits of a keyed hash."""
-    return F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(SEED)), 4).alias("place")
+    """The place of a document in its source's permutation: the first 60 bits of a keyed hash."""
+    keyed = F.concat(F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
+    return F.conv(F.substring(F.md5(keyed.cast("binary")), 1, PLACE_BITS // 4), 16, 10).cast("long").alias("place")
 
 
-def mix(docs: DataFrame, budget: float | str = "cover", max_repeat: float = MAX_REPEAT, entropy: float | None = None) -> DataFrame:
+def shares(docs: DataFrame, names: list[str], **options) -> DataFrame:
+    """row (the columns ``names`` of ``docs``), weight, copies, place of each row."""
+    sources, _ = plan(docs, **options)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), key_of(), place_of())
+    share = sources.select("key", "weight", F.col("copies").alias("n"), "cut")
+    return rows.join(share, "key").select("row", "weight", (F.col("n") + (F.col("place") < F.col("cut")).cast("long")).alias("copies"), "place")
+
+
+def mix(docs: DataFrame, **options) -> DataFrame:
     """``docs`` (doc_id, text, source and any more) with mix_weight, mix_copies and mix_place."""
-    sources, _ = plan(docs, budget, max_repeat, entropy)
-    taken = {"mix_key", "mix_place", "mix_weight", "mix_copies", "mix_cut"}
-    names = [c for c in docs.columns if c not in taken]
-    rows = docs.select(*(F.col(f"`{c}`") for c in names), key_of().alias("mix_key"), place_of().alias("mix_place"))
-    share = sources.select(F.col("key").alias("mix_key"), F.col("weight").alias("mix_weight"), F.col("copies").alias("c"), F.col("cut").alias("mix_cut"))
-    copies = (F.col("c") + (F.col("mix_place") < F.col("mix_cut")).cast("long")).alias("mix_copies")
-    return rows.join(share, "mix_key").select(*(F.col(f"`{c}`") for c in names), "mix_weight", copies, "mix_place")
-
-
-def realise(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs``, each as often as the mixture takes it."""
-    mixed = mix(docs, **options)
-    return mixed.where("mix_copies > 0").withColumn("mix_epoch", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_copies")))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    names = [c for c in docs.columns if c not in ("mix_weight", "mix_copies", "mix_place")]
+    return shares(docs, names, **options).select("row.*", *(F.col(c).alias(f"mix_{c}") for c in ("weight", "copies", "place")))
+
+
+def realise(docs: DataFrame, with_place: bool = False, **options) -> DataFrame:
+    """The rows of ``docs``, each as often as the mixture takes it, in the order of the mixture.
+
+    ``with_place`` adds mix_epoch, mix_block and mix_place, which the order goes by.
+    """
+    names = [c for c in docs.columns if not with_place or c not in ("mix_epoch", "mix_block", "mix_place")]
+    mixed = shares(docs, names, **options).where("copies > 0")
+    every = mixed.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("epoch"), "place")
+    dealt = every.repartitionByRange("epoch", "place").sortWithinPartitions("epoch", "place")
+    places = [F.col("epoch").alias("mix_epoch"), F.shiftright("place", PLACE_BITS - BITS).alias("mix_block"), F.col("place").alias("mix_place")]
+    return dealt.select("row.*", *places[: 3 * with_place])
+
+
+#: The mixture of ``plan`` with its standard options; a bisection of as many steps as there.
+ORACLE_SQL = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, source, CASE WHEN source IS NULL THEN 'null' ELSE '=' || source END AS key,
+  len(regexp_extract_all(coalesce(text, ''), '[^ 	
+]+'))::BIGINT AS tokens,
+  ('0x' || substr(md5('{SEED}' || coalesce(doc_id::VARCHAR, 'null')), 1, {PLACE_BITS // 4}))::BIGINT AS place FROM documents),
+s AS (SELECT key, sum(tokens)::BIGINT AS tokens FROM d GROUP BY key),
+t AS (SELECT sum(tokens)::DOUBLE AS total, min(tokens)::DOUBLE AS least, max(tokens)::DOUBLE AS most, list(tokens::DOUBLE) AS each FROM s WHERE tokens > 0),
+b AS (SELECT 0 AS i, 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi, 0.0::DOUBLE AS a
+  UNION ALL SELECT i + 1, CASE WHEN met THEN lo ELSE a END, CASE WHEN met THEN a ELSE hi END, ((CASE WHEN met THEN lo ELSE a END) + (CASE WHEN met THEN a ELSE hi END)) / 2
+  FROM (SELECT *, z * total * greatest(pow(least / total, 1 - a), pow(most / total, 1 - a)) * greatest(pow(least / total, a) / z / least, pow(most / total, a) / z / most) <= {MAX_REPEAT} * (1 + 1e-12) AS met
+    FROM (SELECT b.*, t.*, list_sum([pow(x / total, a) for x in each]) AS z FROM b, t WHERE i <= {LEVELS * PASSES})) WHERE NOT (i = 0 AND met)),
+e AS (SELECT hi AS a FROM b ORDER BY i DESC LIMIT 1),
+f AS (SELECT CASE WHEN (SELECT max(i) FROM b) = 0 THEN 0.0 ELSE a END AS a FROM e),
+m AS (SELECT f.a, total, z, z * total * greatest(pow(least / total, 1 - f.a), pow(most / total, 1 - f.a)) AS size FROM f, LATERAL (SELECT t.*, list_sum([pow(x / total, f.a) for x in each]) AS z FROM t) AS t),
+w AS (SELECT key, tokens, CASE WHEN tokens > 0 THEN pow(tokens / total, a) / z ELSE 0.0 END AS weight, size FROM s, m),
+c AS (SELECT *, CASE WHEN tokens > 0 THEN round(weight * size)::BIGINT // tokens ELSE 1 END AS n, CASE WHEN tokens > 0 THEN round(weight * size)::BIGINT % tokens ELSE 0 END AS rest FROM w),
+r AS (SELECT d.doc_id, d.source, d.place, c.weight, c.n, c.rest, d.key, sum(d.tokens) OVER (PARTITION BY d.key ORDER BY d.place RANGE UNBOUNDED PRECEDING) AS upto FROM d JOIN c USING (key)),
+k AS (SELECT key, coalesce(min(place) FILTER (upto > rest), 0) AS cut FROM r GROUP BY key)
+SELECT doc_id, source, round(weight, 9) AS weight, (n + (place < cut)::BIGINT)::BIGINT AS copies, place FROM r JOIN k USING (key)
+"""
