@@ -32,10 +32,29 @@ class Index:
     def doc_frequency(self) -> DataFrame:
         return self.postings.groupBy("term").agg(F.count("*").alias("df"))
 
-    def save(self, root: str) -> str:
+    def impacts(self) -> DataFrame:
+        """term, doc_id, impact: what each posting adds to a score. It holds df, lengths and averages within.
+
+        Stored with the index, ordered by term and impact, a look-up needs no statistics, and the greatest
+        impacts of a term stand together.
+        """
+        from quern.operators import rank
+
+        n = self.documents.count()
+        weights = self.doc_frequency().select("term", rank.idf(F.col("df"), F.lit(n)).alias("idf"))
+        rows = self.postings.select("term", "doc_id", "tf_title", "tf_body").join(self.documents.select("doc_id", "len_title", "len_body"), "doc_id").join(weights, "term")
+        rows = rows.crossJoin(F.broadcast(self.stats().select("avg_title", "avg_body")))  # one row
+        part = rank.bm25f(*(F.col(c) for c in ("idf", "tf_title", "tf_body", "len_title", "len_body", "avg_title", "avg_body")))
+        return rows.select("term", "doc_id", part.alias("impact"))
+
+    def save(self, root: str, impacts: bool = False) -> str:
+        """Write the index as the current version under ``root``, with its ``impacts`` if asked for."""
         from quern.sources.sinks import save_tables
 
-        return save_tables({"documents": self.documents, "postings": self.postings.repartition("term").sortWithinPartitions("term", "doc_id")}, root)
+        tables = {"documents": self.documents, "postings": self.postings.repartition("term").sortWithinPartitions("term", "doc_id")}
+        if impacts:
+            tables["impacts"] = self.impacts().repartitionByRange("term", "impact").sortWithinPartitions("term", F.desc("impact"))
+        return save_tables(tables, root)
 
     @staticmethod
     def load(spark, root: str, stemmed: bool = False) -> Index:

@@ -63,6 +63,27 @@ def top(scores: DataFrame, k: int | str, by: list[Column] | None = None, alias:
     return scores.withColumn(alias, F.row_number().over(w)).where(F.col(alias) <= (F.col(k) if isinstance(k, str) else F.lit(k)))
 
 
+def pruned_top(impacts: DataFrame, query_terms: DataFrame, k: int, by: list[Column] | None = None) -> DataFrame:
+    """query_id, doc_id, score, rank: the ``k`` best by summed impacts, as ``top`` of all of them gives.
+
+    A term's k-th greatest impact bounds the k-th score from below. Terms in ascending order of their
+    greatest impact are idle as long as these add up to less than the bound: a document with idle
+    terms alone can't be among the k best. So documents come from the other terms, and the postings of
+    idle ones, the frequent words, are read for these documents only. ``impacts``: term, doc_id, impact.
+    """
+    hit = impacts.join(query_terms.select("query_id", "term").distinct(), "term")
+    nth = hit.withColumn("n", F.row_number().over(Window.partitionBy("query_id", "term").orderBy(F.desc("impact")))).where(F.col("n") <= k)
+    terms = nth.groupBy("query_id", "term").agg(F.max("impact").alias("most"), F.min(F.when(F.col("n") == k, F.col("impact"))).alias("kth"))
+    one = Window.partitionBy("query_id")
+    terms = terms.withColumn("bound", F.coalesce(F.max("kth").over(one), F.lit(0.0))).withColumn("upto", F.sum("most").over(one.orderBy("most", "term").rowsBetween(Window.unboundedPreceding, 0)))
+    busy = terms.select("query_id", "term", (F.col("upto") * (1 + 1e-9) >= F.col("bound")).alias("busy"))
+    told = hit.join(busy, ["query_id", "term"])
+    found = told.where("busy").select("query_id", "doc_id").distinct()
+    idle = told.where("not busy").join(found, ["query_id", "doc_id"], "left_semi")
+    scores = told.where("busy").unionByName(idle).groupBy("query_id", "doc_id").agg(F.sum("impact").alias("score"))
+    return top(scores, k, by)
+
+
 def cover_spans(positions: DataFrame) -> DataFrame:
     """query_id, doc_id, present, span from rows (query_id, doc_id, term, pos).
 

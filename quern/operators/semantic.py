@@ -196,21 +196,37 @@ def approximate(query_vectors: DataFrame, vectors: DataFrame, dim: int, k: int,
     return top(approximate_pooled(query_vectors, vectors, dim, tables, bits), k)
 
 
-def approximate_pooled(query_vectors: DataFrame, vectors: DataFrame, dim: int, tables: int = 12, bits: int = 10) -> DataFrame:
-    """``max_pooled`` of the vectors that share a bucket with the query; vectors may bring their table and bucket.
+def approximate_pooled(query_vectors: DataFrame, vectors: DataFrame, dim: int, tables: int = 12, bits: int = 10, placed: DataFrame | None = None) -> DataFrame:
+    """``max_pooled`` of the vectors that share a bucket with the query; ``placed``: stored buckets of ``save_ann``.
 
     Ids alone are joined by bucket, each pair once; vectors are fetched for what is left.
     """
     fits = vectors.where(F.size("embedding") == dim)
-    placed = fits if {"table", "bucket"} <= set(vectors.columns) else buckets(fits.select("doc_id", "passage_idx", "embedding"), dim, tables, bits)
+    if placed is None:
+        placed = buckets(fits.select("doc_id", "passage_idx", "embedding"), dim, tables, bits)
     asked = query_vectors.where(F.size("qv") == dim)
     q = buckets(asked.select("query_id", F.col("qv").alias("embedding")), dim, tables, bits).select("query_id", "table", "bucket")
     found = placed.select("doc_id", "passage_idx", "table", "bucket").join(q, ["table", "bucket"]).select("query_id", "doc_id", "passage_idx").distinct()
-    whole = fits.select("doc_id", "passage_idx", "embedding").dropDuplicates(["doc_id", "passage_idx"]) if placed is fits else fits.select("doc_id", "passage_idx", "embedding")
-    pairs = found.join(whole, ["doc_id", "passage_idx"]).join(asked.select("query_id", "qv"), "query_id")
+    pairs = found.join(fits.select("doc_id", "passage_idx", "embedding"), ["doc_id", "passage_idx"]).join(asked.select("query_id", "qv"), "query_id")
     return max_pooled(pairs.select("query_id", "doc_id", "passage_idx", dot(F.col("embedding"), F.col("qv")).alias("sim")))
 
 
+def save_ann(vectors: DataFrame, root: str, dim: int, tables: int = 12, bits: int = 10) -> str:
+    """Write vectors (doc_id, passage_idx, text, embedding) and their buckets beside each other, as a version under ``root``."""
+    from quern.sources.sinks import save_tables
+
+    placed = buckets(vectors.where(F.size("embedding") == dim).select("doc_id", "passage_idx", "embedding"), dim, tables, bits).drop("embedding")
+    return save_tables({"vectors": vectors, "buckets": placed.repartition("table", "bucket").sortWithinPartitions("table", "bucket")}, root)
+
+
+def load_ann(spark, root: str) -> tuple[DataFrame, DataFrame]:
+    """(vectors, buckets) of the current version under ``root``."""
+    from quern.sources.sinks import load_tables
+
+    found = load_tables(spark, root)
+    return found["vectors"], found["buckets"]
+
+
 def similarity_graph(vectors: DataFrame, most: int = 300, k: int = 4, floor: float = GRAPH_FLOOR) -> DataFrame:
     """a, b, sim (a < b): each node's k best neighbours of at least ``floor`` among the ``most`` of highest rank.
 

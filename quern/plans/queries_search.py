@@ -116,6 +116,14 @@ def bm25f_multi_query_topk(spark, sf_dir):
     return top10(_scores(spark, sf_dir, benchmark_terms(spark, sf_dir)))
 
 
+@query(f"WITH {BENCH_TERMS}, {BM25} {TOP10}")
+def bm25f_pruned_topk(spark, sf_dir):
+    """The same hits from stored impacts, without the frequent words' postings."""
+    impacts = simple_index(spark, sf_dir).impacts()
+    ranked = R.pruned_top(impacts, benchmark_terms(spark, sf_dir), 10, [F.desc(F.round("score", 9)), F.asc("doc_id")])
+    return ranked.select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
+
+
 #: Two words beside each other, and two with a stop word between them.
 PHRASES = [(0, 0, "reed", 0), (0, 0, "ed", 1), (1, 0, "er", 0), (1, 0, "er", 2)]
 PHRASE_SQL = f"""WITH {PLACED}, ph(query_id, term, at_) AS (VALUES @rows),
