@@ -15,11 +15,19 @@ that begin at anchors are sorted.
    neighbours come out with the order.
 4. Neighbours that share LENGTH - SPAN + 1 bytes are held against each other: with F bytes shared
    after the anchor and B before it, the strings that start o bytes before it repeat for
-   LENGTH - F <= o <= B.
+   LENGTH - F <= o <= B. A few neighbours are compared pair by pair; of more, those that share F bytes
+   are runs in the order of the suffixes, and those that share B bytes runs in the order of what comes
+   before, so whoever meets another in both runs repeats.
+
+The number of merge tasks follows from the bytes that are sent. Splitters can't cut suffixes that begin
+with the same LENGTH - SPAN + 1 bytes: where more than HOT different surroundings do (a licence line in
+every document), an exact way of its own takes these, spread by the strings themselves: each string of
+LENGTH bytes around such an anchor is counted by its digest, summed within tasks first.
 
 Defined cases: null text is empty; texts under LENGTH bytes lose nothing; rows that repeat a doc_id,
-with equal text or not, are documents of their own; a null doc_id is kept; an empty table gives an
-empty result. Matches never cross documents, and strings are judged on the input.
+with equal text or not, are documents of their own; a null doc_id is kept, ids of any type are; an empty
+table gives an empty result; further columns, whatever their names, are ignored. Matches never cross
+documents, and strings are judged on the input.
 """
 
 from __future__ import annotations
@@ -33,12 +41,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import NO_ID, Scratch
+from quern.llm.common import Scratch, held, id_key, lean, stored
 
 LENGTH, SPAN = 200, 128  # SPAN is a power of two
 SHARED = LENGTH - SPAN + 1
-SAMPLE = 8192  # suffixes that the splitters are drawn from
-FEW = 12  # neighbours that are compared pair by pair; more go by their strings
+SAMPLE = 8  # suffixes for each splitter, about
+PART_BYTES, LEAST_PART_BYTES = 64 << 20, 4 << 20  # in a merge task, at most about; and where there are fewer than shuffle partitions
+HOT = 10_000  # different surroundings of one beginning that a merge task takes
+FEW = 12  # neighbours that are compared pair by pair; more go by runs
 
 
 def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -60,8 +70,8 @@ def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return at[first], first, np.concatenate([first[1:] - 1, [n - 1]])
 
 
-def _keys():
-    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("dk"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("th")
+def _keys(docs: DataFrame):
+    return id_key(docs).alias("dk"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("th")
 
 
 def _text():
@@ -86,7 +96,7 @@ def anchor_hashes(docs: DataFrame) -> DataFrame:
             hs = pa.ListArray.from_arrays(ends, pa.array(np.array(hashes, np.uint64).view(np.int64)))
             yield pa.RecordBatch.from_arrays([b.column("dk"), b.column("th"), at, hs], ["dk", "th", "at", "hashes"])
 
-    return docs.select(*_keys(), _text()).mapInArrow(run, "dk long, th long, at array<int>, hashes array<long>")
+    return docs.select(*_keys(docs), _text()).mapInArrow(lean(run), "dk long, th long, at array<int>, hashes array<long>")
 
 
 def surroundings(marked: DataFrame) -> DataFrame:
@@ -94,9 +104,12 @@ def surroundings(marked: DataFrame) -> DataFrame:
 
     keys: for each anchor (start, before, least, stop) as int32: the bytes from the first string's
     start to the last one's end, and the most and least bytes from a string's start to the anchor.
-    text: these byte ranges, overlapping ones as one, each after its start. digests: 16 bytes an anchor.
+    text: these byte ranges, overlapping ones as one, each after its start. digests: 16 bytes an anchor,
+    begins: an 8-byte hash of the SHARED bytes after it.
     """
-    schema = pa.schema([("dk", pa.int64()), ("th", pa.int64()), ("keys", pa.binary()), ("text", pa.list_(pa.binary())), ("digests", pa.binary())])
+    import xxhash
+
+    schema = pa.schema([("dk", pa.int64()), ("th", pa.int64()), ("keys", pa.binary()), ("text", pa.list_(pa.binary())), ("digests", pa.binary()), ("begins", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -113,34 +126,34 @@ def surroundings(marked: DataFrame) -> DataFrame:
                     if s > end:
                         segments.append([s, e])
                     segments[-1][1] = end = max(end, e)
-                out.append({"dk": dk.as_py(), "th": th.as_py(), "keys": rows.tobytes(), "text": [s.to_bytes(4, "little") + data[s:e] for s, e in segments], "digests": digests})
+                out.append({"dk": dk.as_py(), "th": th.as_py(), "keys": rows.tobytes(), "text": [s.to_bytes(4, "little") + data[s:e] for s, e in segments], "digests": digests, "begins": b"".join(xxhash.xxh3_64_digest(data[x : x + SHARED]) for x in at.tolist())})
             yield pa.RecordBatch.from_pylist(out, schema)
 
-    return marked.mapInArrow(run, "dk long, th long, keys binary, text array<binary>, digests binary")
+    return marked.mapInArrow(lean(run), "dk long, th long, keys binary, text array<binary>, digests binary, begins binary")
 
 
 def occurrences(segments: DataFrame) -> DataFrame:
-    """dk, th, i, start, stop, d1, d2 of each anchor of ``surroundings``."""
-    names = ["dk", "th", "i", "start", "stop", "d1", "d2"]
+    """dk, th, i, start, stop, d1, d2, h of each anchor of ``surroundings``."""
+    names = ["dk", "th", "i", "start", "stop", "d1", "d2", "h"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for dk, th, keys, digests in zip(*(b.column(c) for c in ("dk", "th", "keys", "digests"))):
+            for dk, th, keys, digests, begins in zip(*(b.column(c) for c in ("dk", "th", "keys", "digests", "begins"))):
                 k = np.frombuffer(keys.as_py(), "<i4").reshape(-1, 4)
                 d = np.frombuffer(digests.as_py(), "<i8").reshape(-1, 2)
                 n = len(k)
-                columns = [np.full(n, dk.as_py(), np.int64), np.full(n, th.as_py(), np.int64), np.arange(n, dtype=np.int32), k[:, 0], k[:, 3], d[:, 0], d[:, 1]]
+                columns = [np.full(n, dk.as_py(), np.int64), np.full(n, th.as_py(), np.int64), np.arange(n, dtype=np.int32), k[:, 0], k[:, 3], d[:, 0], d[:, 1], np.frombuffer(begins.as_py(), "<i8")]
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names)
 
-    return segments.mapInArrow(run, "dk long, th long, i int, start int, stop int, d1 long, d2 long")
+    return segments.mapInArrow(lean(run), "dk long, th long, i int, start int, stop int, d1 long, d2 long, h long")
 
 
-def entries(row: dict) -> Iterator[tuple]:
+def entries(row: dict, chosen: str = "pick") -> Iterator[tuple]:
     """(suffix, what comes before it, least offset, digest) of the chosen anchors of a segments row."""
     keys = np.frombuffer(row["keys"], "<i4").reshape(-1, 4).tolist()
     parts = [(int.from_bytes(t[:4], "little"), t[4:]) for t in row["text"]]
     s = 0
-    for i in sorted(row["pick"]):
+    for i in sorted(row[chosen]):
         start, before, least, stop = keys[i]
         while parts[s][0] + len(parts[s][1]) < stop:
             s += 1
@@ -263,16 +276,19 @@ def repeats(group: list[tuple[int, tuple]], often: set[bytes]) -> Iterator[tuple
                 add(i, a, b)
                 add(j, a, b)
     else:
-        owners: dict[tuple[int, bytes], list[int]] = {}
-        for i, (_, e) in enumerate(order):
-            text, before = e[2] + e[1], len(e[2])
-            for o in range(e[3], before + 1):
-                key = (o, hashlib.blake2b(text[before - o : before - o + LENGTH], digest_size=16).digest())
-                owners.setdefault(key, [i]).append(i)
-        for (o, _), own in owners.items():
-            if len(own) > 2:  # the first owner is in the list twice
-                for i in own:
-                    add(i, o, o)
+        after = np.array([0] + [h for h, _ in order[1:]])
+        turned = [e[2][::-1] for _, e in order]
+        by_before = sorted(range(n), key=turned.__getitem__)
+        before = np.array([0] + [common(turned[x], turned[y]) for x, y in zip(by_before, by_before[1:])])
+        least, most = np.array([e[3] for _, e in order]), np.array([len(e[2]) for _, e in order])
+        run = np.empty(n, np.int64)
+        for o in range(int(least.min()), int(most.max()) + 1):
+            run[by_before] = np.cumsum(before < o)
+            able = np.nonzero((least <= o) & (o <= most))[0]
+            both = np.cumsum(after < LENGTH - o)[able] * (n + 1) + run[able]
+            _, at, times = np.unique(both, return_inverse=True, return_counts=True)
+            for i in able[times[at] > 1].tolist():
+                add(i, o, o)
     for i, (_, e) in enumerate(order):
         if e[4] in often:
             found[i] = [e[3], len(e[2])]
@@ -281,45 +297,80 @@ def repeats(group: list[tuple[int, tuple]], often: set[bytes]) -> Iterator[tuple
         yield e[4], len(e[2]) - b, len(e[2]) - a + LENGTH
 
 
+def hot_hits(rows: DataFrame) -> DataFrame:
+    """d1, d2, from, to of what repeats around the anchors ``hot`` of ``rows``, by the strings themselves."""
+    schema = pa.schema([(c, pa.int64()) for c in ("d1", "d2", "s1", "s2")] + [(c, pa.int32()) for c in ("least", "before", "o")])
+
+    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                often = {r["digests"][16 * i : 16 * i + 16] for i in r["hot_often"]}
+                for suffix, before, least, digest in entries(r, "hot"):
+                    text, n = before + suffix, len(before)
+                    offsets = np.arange(least, n + 1, dtype=np.int32)
+                    keys = b"".join(hashlib.blake2b(text[n - o : n - o + LENGTH], digest_size=16).digest() for o in offsets.tolist())
+                    s, d = np.frombuffer(keys, "<i8").reshape(-1, 2), np.frombuffer(digest, "<i8")
+                    if digest in often:  # repeats whole: each string twice
+                        s, offsets = np.repeat(s, 2, 0), np.repeat(offsets, 2)
+                    k = len(offsets)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(k, d[0])), pa.array(np.full(k, d[1])), pa.array(np.ascontiguousarray(s[:, 0])), pa.array(np.ascontiguousarray(s[:, 1])), pa.array(np.full(k, least, np.int32)), pa.array(np.full(k, n, np.int32)), pa.array(offsets)], schema=schema)
+
+    scratch = Scratch(rows.sparkSession, "suffix-hot")
+    every = scratch.table(rows.where(F.size("hot") > 0).mapInArrow(lean(strings), "d1 long, d2 long, s1 long, s2 long, least int, before int, o int"), "strings")
+    twice = scratch.table(every.groupBy("s1", "s2", "o").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "twice")
+    found = every.join(twice, ["s1", "s2", "o"]).groupBy("d1", "d2", "before").agg(F.min("o").alias("a"), F.max("o").alias("z"))
+    return found.select("d1", "d2", (F.col("before") - F.col("z")).cast("int").alias("from"), (F.col("before") - F.col("a") + LENGTH).cast("int").alias("to"))
+
+
 def removed_spans(docs: DataFrame) -> DataFrame:
     """dk, th, spans (array of (start, stop) in bytes, not yet merged) of the texts that lose bytes."""
     scratch = Scratch(docs.sparkSession, "suffix")
-    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     marks = scratch.table(anchor_hashes(docs), "anchors")
-    hashes = marks.select(F.explode("hashes").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    # What is joined back is a table of its own each time, so that Spark can split a frequent key.
+    hashes = scratch.table(marks.select(F.explode("hashes").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "repeated")
     placed = marks.select("dk", "th", F.explode(F.arrays_zip("at", "hashes")).alias("x")).select("dk", "th", F.col("x.at").alias("at"), F.col("x.hashes").alias("h"))
     marked = scratch.table(placed.join(hashes, "h").groupBy("dk", "th").agg(F.collect_set("at").alias("at")), "marked")
     scratch.drop(marks)
-    texts = docs.select(*_keys(), _text()).join(marked, ["dk", "th"]).select("dk", "th", "text", "at")
+    scratch.drop(hashes)
+    texts = docs.select(*_keys(docs), _text()).join(marked, ["dk", "th"]).select("dk", "th", "text", "at")
     segments = scratch.table(surroundings(texts), "segments")
     scratch.drop(marked)
-    places = occurrences(segments)
-    owners = places.groupBy("d1", "d2").agg(F.min("dk").alias("owner"), F.count("*").alias("n"))
-    places = scratch.table(places.join(owners, ["d1", "d2"]).select("dk", "th", "i", "start", "stop", "d1", "d2", (F.col("dk") == F.col("owner")).alias("own"), (F.col("n") > 1).alias("often")), "places")
-    sent = places.where("own").groupBy("dk", "th").agg(F.collect_set("i").alias("pick"), F.collect_set(F.when(F.col("often"), F.col("i"))).alias("often"))
-    rows = segments.join(sent, ["dk", "th"]).select("keys", "text", "digests", "pick", "often")
-    total = places.where("own").count()
-    rate = max(1, total // SAMPLE)
+    places = scratch.table(occurrences(segments), "places")
+    owners = scratch.table(places.groupBy("d1", "d2").agg(F.min("dk").alias("owner"), F.count("*").alias("n"), F.min(F.col("stop") - F.col("start")).cast("long").alias("bytes"), F.min("h").alias("h")), "owners")
+    hot = scratch.table(owners.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("h", F.lit(True).alias("is_hot")), "hot")
+    some_hot = bool(hot.limit(1).count())
+    own = places.join(owners.select("d1", "d2", "owner", "n"), ["d1", "d2"]).where(F.col("dk") == F.col("owner"))
+    own = own.join(hot, "h", "left") if some_hot else own.withColumn("is_hot", F.lit(None).cast("boolean"))
+    cold, often = F.col("is_hot").isNull(), F.col("n") > 1
+    picked = lambda test: F.collect_set(F.when(test, F.col("i")))
+    sent = own.groupBy("dk", "th").agg(picked(cold).alias("pick"), picked(cold & often).alias("often"), picked(~cold).alias("hot"), picked(~cold & often).alias("hot_often"))
+    rows = segments.join(sent, ["dk", "th"]).select("keys", "text", "digests", "pick", "often", "hot", "hot_often")
+    if some_hot:
+        rows = scratch.table(rows, "rows")
+    total, size = owners.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    parts = max(1, -(-size // PART_BYTES), min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // LEAST_PART_BYTES)))
+    rate = max(1, total // max(8192, SAMPLE * parts))
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [e[0][:SHARED] for r in b.to_pylist() for e in entries(r) if int.from_bytes(e[3][:8], "little") % rate == 0]
             yield pa.RecordBatch.from_arrays([pa.array(got, pa.binary())], ["p"])
 
-    picks = sorted(bytes(r[0]) for r in rows.mapInArrow(sampled, "p binary").limit(4 * SAMPLE).collect()) if total else []
-    splitters = sorted({picks[len(picks) * i // parts] for i in range(1, parts)}) if picks else []
+    picks = sorted(x.as_py() for x in rows.mapInArrow(lean(sampled), "p binary").toArrow()["p"]) if parts > 1 else []  # 8 a splitter
+    splitters_at = scratch.keep(sorted({picks[len(picks) * i // parts] for i in range(1, parts)}) if picks else [], "splitters")
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from bisect import bisect_right
 
-        held: dict[int, list] = defaultdict(list)
+        splitters = held(splitters_at, lambda: stored(splitters_at))
+        runs_of: dict[int, list] = defaultdict(list)
         marks: dict[int, list] = defaultdict(list)
         size = 0
 
         def flush() -> pa.RecordBatch:
-            parts_ = sorted(held)
-            out = [pa.array(parts_, pa.int32()), pa.array([front_code(sorted(held[p])) for p in parts_], pa.binary()), pa.array([b"".join(marks[p]) for p in parts_], pa.binary())]
-            held.clear()
+            parts_ = sorted(runs_of)
+            out = [pa.array(parts_, pa.int32()), pa.array([front_code(sorted(runs_of[p])) for p in parts_], pa.binary()), pa.array([b"".join(marks[p]) for p in parts_], pa.binary())]
+            runs_of.clear()
             marks.clear()
             return pa.RecordBatch.from_arrays(out, ["part", "run", "often"])
 
@@ -328,11 +379,11 @@ def removed_spans(docs: DataFrame) -> DataFrame:
                 often = {r["digests"][16 * i : 16 * i + 16] for i in r["often"]}
                 for e in entries(r):
                     p = bisect_right(splitters, e[0][:SHARED])
-                    held[p].append(e)
+                    runs_of[p].append(e)
                     size += len(e[0]) + len(e[1])
                     if e[3] in often:
                         marks[p].append(e[3])
-                if size > 64 << 20:
+                if size > 32 << 20:
                     yield flush()
                     size = 0
         yield flush()
@@ -364,15 +415,17 @@ def removed_spans(docs: DataFrame) -> DataFrame:
         if found:
             yield solve(found, marks)
 
-    dealt = rows.mapInArrow(runs, "part int, run binary, often binary").repartition(parts, "part").sortWithinPartitions("part")
-    hits = scratch.table(dealt.mapInArrow(merged, "d1 long, d2 long, from int, to int"), "hits")
+    dealt = rows.mapInArrow(lean(runs), "part int, run binary, often binary").repartitionById(parts, "part").sortWithinPartitions("part")
+    hits = dealt.mapInArrow(lean(merged), "d1 long, d2 long, from int, to int")
+    hits = scratch.table(hits.unionByName(hot_hits(rows)) if some_hot else hits, "hits")
+    scratch.drop(segments, owners, hot, *[rows] * some_hot)
     spans = places.join(hits, ["d1", "d2"]).select("dk", "th", F.struct((F.col("start") + F.col("from")).alias("start"), (F.col("start") + F.col("to")).alias("stop")).alias("s"))
     return spans.groupBy("dk", "th").agg(F.collect_set("s").alias("spans"))
 
 
 def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row; ``with_text`` adds kept (binary)."""
-    rows = docs.select("doc_id", *_keys(), _text()).join(removed_spans(docs), ["dk", "th"], "left").select("doc_id", "text", "spans")
+    rows = docs.select("doc_id", *_keys(docs), _text()).join(removed_spans(docs), ["dk", "th"], "left").select("doc_id", "text", "spans")
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -393,4 +446,4 @@ def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(x, t) for x, t in zip(out, kinds))][: len(names)], names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
+    return rows.mapInArrow(lean(run), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
