@@ -51,21 +51,22 @@ def findings(text: Column) -> Column:
 def scan(versions: DataFrame, ledger: DataFrame | None = None, rule_version: int = RULE_VERSION) -> tuple[DataFrame, DataFrame]:
     """Scan ``versions`` (doc_id, text) against ``ledger``; returns (findings by path, the new ledger).
 
-    ``ledger`` and the new ledger are (blob, rule_version, spans). The new one is a table in the
-    shared folder and holds the old pairs too; pass it to the next call.
+    ``ledger`` and the new ledger are (blob, rule_version, spans). Only the new pairs are written, as a
+    table of their own in the shared folder; the new ledger reads them beside the old ones. Pass it to
+    the next call.
     """
     scratch = Scratch(versions.sparkSession, "secret-ledger")
     text = F.coalesce(F.col("text"), F.lit(""))
     paths = versions.select("doc_id", F.sha2(text, 256).alias("blob"))
     blobs = versions.select(F.sha2(text, 256).alias("blob"), text.alias("text"))
-    if ledger is not None:
-        blobs = blobs.join(ledger.where(F.col("rule_version") == rule_version).select("blob"), "blob", "left_anti")
     # Copies fall together within each task before any text is exchanged.
     unseen = blobs.groupBy("blob").agg(F.first("text").alias("text"))
+    if ledger is not None:
+        unseen = unseen.join(ledger.where(F.col("rule_version") == rule_version).select("blob"), "blob", "left_anti")
     new = unseen.select("blob", F.lit(rule_version).alias("rule_version"), findings(F.col("text")).alias("spans"))
+    new = scratch.table(new, "ledger")
     if ledger is not None:
         new = ledger.select("blob", "rule_version", "spans").unionByName(new)
-    new = scratch.table(new, "ledger")
     hits = new.where((F.col("rule_version") == rule_version) & (F.size("spans") > 0)).select("blob", "spans")
     out = paths.join(hits, "blob", "left").select("doc_id", "blob", F.coalesce("spans", F.array().cast(SPAN)).alias("spans"))
     return out, new
