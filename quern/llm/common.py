@@ -1,7 +1,7 @@
 """Helpers that several training-data operators share: scratch tables, workers' memory, components, shingles.
 
-Scratch tables live in the folder that ``spark.checkpoint.dir`` names, so that they outlive any
-executor; a folder is made up only on a local master, where there are no other machines (tests, notebooks).
+Scratch tables live in the folder that ``spark.checkpoint.dir`` names (see ``session.shared_dir``), so
+that they outlive any executor.
 """
 
 from __future__ import annotations
@@ -10,7 +10,6 @@ import ctypes
 import gc
 import pickle
 import re
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from functools import wraps
@@ -22,21 +21,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quern.session import shared_dir
+
 NO_ID = -(2**63)  # stands for a null doc_id inside join keys
 WORD = re.compile(r"\w+")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; on a local master a temporary one is set where there is none."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="quern-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 class Scratch:
     """Tables written to the shared folder, which cut lineage and survive lost executors."""
 
@@ -57,11 +47,12 @@ class Scratch:
         out._scratch_path = path
         return out
 
-    def drop(self, table: DataFrame) -> None:
-        """Delete a table of ``table()`` that no later plan reads."""
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables of ``table()`` that no later plan reads."""
         jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(table._scratch_path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        for table in tables:
+            path = jvm.org.apache.hadoop.fs.Path(table._scratch_path)
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
     def keep(self, value: object, name: str) -> str:

@@ -154,14 +154,16 @@ def join(vectors: DataFrame, threshold: float = THRESHOLD, exact: bool = False)
     ids = scratch.table(rows.select("vk", "c1", "c2"), "ids")
     distinct = rows.where("c1 is not null").groupBy("c1", "c2").agg(F.first("e").alias("e"), F.min("vk").alias("first"), F.count("*").alias("size"))
     distinct = scratch.table(distinct.select(F.monotonically_increasing_id().alias("c"), "*", F.size("e").alias("dim")), "vectors")  # written, so the numbers stay
-    links = None
+    links, done = None, []
     for dim, n in [(r["dim"], r["count"]) for r in distinct.groupBy("dim").count().orderBy("dim").collect()]:
-        part = links_of(scratch, distinct.where(F.col("dim") == dim), dim, n, threshold, exact)
+        part, used = links_of(scratch, distinct.where(F.col("dim") == dim), dim, n, threshold, exact)
+        done += used
         links = part if links is None else links.unionByName(part)
     classes = distinct.select("c", "c1", "c2", "first", "size")
     whole = classes.withColumn("root", F.col("c")).withColumn("links", F.lit(0).cast("long"))
     if links is not None:
         links = scratch.table(links, "links")
+        scratch.drop(*done)
         total = links.groupBy("c").agg(F.sum("links").alias("links"))
         tied = components(scratch, links.select(F.col("c").alias("a"), F.col("tie").alias("b")))
         whole = classes.join(total, "c", "left").join(tied.select(F.col("v").alias("c"), "root"), "c", "left").withColumn("root", F.coalesce("root", "c"))
@@ -172,8 +174,8 @@ def join(vectors: DataFrame, threshold: float = THRESHOLD, exact: bool = False)
     return ids.join(by_class, ["c1", "c2"], "left").select(shown(F.col("vk")).alias("vec_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), shown(root).alias("component_id"), (F.col("vk") == root).alias("kept"))
 
 
-def links_of(scratch: Scratch, vectors: DataFrame, dim: int, n: int, threshold: float, exact: bool) -> DataFrame:
-    """c, tie, links: rows to be summed by class; ``vectors`` (c, c1, e, size) are all of one dimension."""
+def links_of(scratch: Scratch, vectors: DataFrame, dim: int, n: int, threshold: float, exact: bool) -> tuple[DataFrame, list[DataFrame]]:
+    """c, tie, links: rows to be summed by class; and the tables they come from. ``vectors`` (c, c1, e, size) are all of one dimension."""
     most = max(256, min(SAMPLE, max(16_384, 16 * int(math.sqrt(n))), SAMPLE_NUMBERS // dim))
     share = 1.2 * most / n + 100 / n
     drawn = vectors.where(F.pmod("c1", F.lit(1_000_000)) < int(min(1.0, share) * 1_000_000) + 1).orderBy("c1", "c2").limit(most).select("e").toArrow()
@@ -263,7 +265,7 @@ def links_of(scratch: Scratch, vectors: DataFrame, dim: int, n: int, threshold:
                 return pa.RecordBatch.from_arrays([pa.array(names), pa.array(names[root]), pa.array(links.astype(np.int64))], ["c", "tie", "links"])
 
     dealt = whole.select("of", "i", "j", "side", "c", "size", "home", "probes", "x").repartition("of", "i", "j").sortWithinPartitions("of", "i", "j", "side")
-    return dealt.mapInArrow(lean(by_unit(("side", "c", "size", "home", "probes", "x"), solve)), "c long, tie long, links long")
+    return dealt.mapInArrow(lean(by_unit(("side", "c", "size", "home", "probes", "x"), solve)), "c long, tie long, links long"), [coded, active]
 
 
 def numbers(e: pa.Array, dim: int) -> np.ndarray:

@@ -93,7 +93,7 @@ def fit(docs: DataFrame, max_train_docs: int = MAX_TRAIN_DOCS) -> str:
     total = labelled.count()
     likely = labelled.where(F.col("place") < int((1 << 40) * min(1.0, 1.1 * max_train_docs / max(total, 1) + 100 / max(total, 1))))
     places = likely.select("place").distinct().orderBy("place").limit(max_train_docs)
-    last = scratch.table(places, "places").agg(F.max("place")).first()[0]
+    last = places.agg(F.max("place")).first()[0]
     sample = likely.where(F.col("place") <= F.lit(-1 if last is None else last)).dropDuplicates(["place"]).select("lang", "text")
     counted = sample.mapInArrow(lean(count_partition), "lang string, size int, gram string, n long").groupBy("lang", "size", "gram").agg(F.sum("n").alias("n"))
     return scratch.table(counted, "model")._scratch_path

@@ -98,6 +98,7 @@ def bootstrap(scratch: Scratch, found_in: DataFrame) -> DataFrame:
         reached = edges.join(trusted, ["side", "word"]).groupBy("value").agg(F.sum(F.log(1 - F.col("conf"))).alias("doubt"))
         reached = reached.where(1 - F.exp("doubt") >= TRUST).select("value")
         accepted = scratch.table(accepted.union(reached).distinct(), "accepted")
+        scratch.drop(trusted)
     return accepted.join(seeds.where("seed"), "value", "left_anti")
 
 
