@@ -100,7 +100,7 @@ def _th():
     return F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("th")
 
 
-def tiles(members: DataFrame, threshold: float) -> DataFrame:
+def tiles(scratch: Scratch, members: DataFrame, threshold: float) -> DataFrame:
     """``members`` (root, c, n_grams, ...) once for each of their tiles: columns lo, i, hi, j, length, block.
 
     A tile is block i of length lo against block j of length hi (lo itself or the next one). Sets of
@@ -112,6 +112,7 @@ def tiles(members: DataFrame, threshold: float) -> DataFrame:
     sizes = sizes.select("root", "length", F.greatest(F.ceil(F.col("n") / TILE), F.ceil(F.col("m") * 8 / TILE_BYTES)).cast("int").alias("n"))
     near = [sizes.select("root", (F.col("length") - step).alias("length"), F.col("n").alias(name)) for step, name in ((-1, "below"), (1, "above"))]
     around = sizes.join(near[0], ["root", "length"], "left").join(near[1], ["root", "length"], "left")
+    around = scratch.table(around, "lengths")  # a table of its own, so that Spark can split a large component in the join
     placed = placed.join(around, ["root", "length"]).withColumn("block", F.pmod(F.xxhash64("c"), F.col("n")).cast("int"))
 
     def of(count, tile):
@@ -228,6 +229,7 @@ def linked_rows(docs: DataFrame, threshold: float, k: int) -> DataFrame:
 
     sets = members.mapInArrow(lean(grams), "root long, c long, size long, n_grams long, grams binary, bands array<long>")
     sets = scratch.table(sets, "sets")
+    scratch.drop(ties)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
@@ -245,7 +247,7 @@ def linked_rows(docs: DataFrame, threshold: float, k: int) -> DataFrame:
             out = []
         yield made(verify(held, threshold))
 
-    dealt = tiles(sets, threshold).repartition(*TILE_KEY).sortWithinPartitions(*TILE_KEY)
+    dealt = tiles(scratch, sets, threshold).repartition(*TILE_KEY).sortWithinPartitions(*TILE_KEY)
     links = scratch.table(dealt.mapInArrow(lean(check), "c long, tie long, links long"), "links")
     scratch.drop(sets)
     total = links.groupBy("c").agg(F.sum("links").alias("links"))
