@@ -37,6 +37,16 @@ CANDIDATES = [
 PUBLISHED_TAG = rf"""(?is)<meta\b[^>]*\b(?:property|name|itemprop)\s*=\s*["'](?:{PUBLISHED_METAS})["'][^>]*>"""
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _some(text: Column) -> Column:
+    """The text, null if it is empty."""
+    return _let(text, lambda t: F.when(t != "", t))
+
+
 def decode_entities(text: Column, limit: int = CRAWL_LIMIT) -> Column:
     """Named and numeric entities of at most ``limit`` characters as text; others stay as they are."""
     names = {k: v for k, v in ENTITIES.items() if limit <= STORED_LIMIT or k not in ("laquo", "raquo")}
@@ -49,9 +59,10 @@ def decode_entities(text: Column, limit: int = CRAWL_LIMIT) -> Column:
         char = F.when(hexed != "", code(F.conv(hexed, 16, 10).try_cast("bigint"))).when(dec != "", code(dec.try_cast("bigint"))).otherwise(F.try_element_at(table, body))
         return F.coalesce(F.concat(char, F.substr(piece, F.length(body) + 2)), F.concat(F.lit("&"), piece))
 
-    parts = F.split(text, "&", -1)
-    decoded = F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), one), ""))
-    return F.when(F.contains(text, F.lit("&")), decoded).otherwise(text)
+    def decoded(parts: Column) -> Column:
+        return F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), one), ""))
+
+    return _let(text, lambda t: F.when(F.contains(t, F.lit("&")), _let(F.split(t, "&", -1), decoded)).otherwise(t))
 
 
 def strip_tags(html: Column) -> Column:
@@ -113,7 +124,7 @@ def published(html: Column) -> Column:
     meta = F.trim(_first_group(F.regexp_extract(html, f"({PUBLISHED_TAG})", 1), rf"(?is)\bcontent{VALUE}"))
     linked = F.trim(F.regexp_extract(html, r'(?is)"datePublished"\s*:\s*"([^"]+)"', 1))
     timed = F.trim(F.regexp_extract(html, r"""(?is)<time\b[^>]*\bdatetime\s*=\s*["']([^"']+)["']""", 1))
-    return F.coalesce(F.nullif(meta, F.lit("")), F.nullif(linked, F.lit("")), timed)
+    return F.coalesce(_some(meta), _some(linked), timed)
 
 
 def hrefs(html: Column) -> Column:
@@ -129,15 +140,19 @@ def links(url: Column, html: Column) -> Column:
 
 def images(url: Column, html: Column, page_title: Column) -> Column:
     """array<struct<url, alt>>: social-card images, then <img>; distinct, MAX_IMAGES at most."""
-    metas = F.filter(F.regexp_extract_all(html, F.lit(r"(?is)(<meta\b[^>]*>)"), F.lit(1)), lambda t: F.lower(F.coalesce(F.nullif(attribute(t, "property"), F.lit("")), attribute(t, "name"))).isin(IMAGE_METAS))
-    first = lambda t, *names: F.coalesce(*(F.nullif(attribute(t, n), F.lit("")) for n in names), F.lit(""))
-    from_set = lambda t, name: F.nullif(F.regexp_extract(F.trim(attribute(t, name)), r"^([^\s,]+)", 1), F.lit(""))
-    social = F.transform(metas, lambda t: F.struct(urls.resolve(url, F.nullif(F.trim(attribute(t, "content")), F.lit(""))).alias("url"), page_title.alias("alt")))
-    source = lambda t: F.coalesce(F.nullif(first(t, r"(?<![\w-])src", "data-src", "data-original"), F.lit("")), from_set(t, r"(?<![\w-])srcset"), from_set(t, "data-srcset"))
-    shown = F.transform(F.regexp_extract_all(html, F.lit(r"(?is)(<img\b[^>]*>)"), F.lit(1)), lambda t: F.struct(urls.resolve(url, F.trim(source(t))).alias("url"), collapse(first(t, "alt", "title")).alias("alt")))
+    metas = F.filter(F.regexp_extract_all(html, F.lit(r"(?is)(<meta\b[^>]*>)"), F.lit(1)), lambda t: F.lower(F.coalesce(_some(attribute(t, "property")), attribute(t, "name"))).isin(IMAGE_METAS))
+    first = lambda t, *names: F.coalesce(*(_some(attribute(t, n)) for n in names), F.lit(""))
+    from_set = lambda t, name: _some(F.regexp_extract(F.trim(attribute(t, name)), r"^([^\s,]+)", 1))
+    social = F.transform(metas, lambda t: F.struct(_let(_some(F.trim(attribute(t, "content"))), lambda u: urls.resolve(url, u)).alias("url"), page_title.alias("alt")))
+    source = lambda t: F.coalesce(_some(first(t, r"(?<![\w-])src", "data-src", "data-original")), from_set(t, r"(?<![\w-])srcset"), from_set(t, "data-srcset"))
+    shown = F.transform(F.regexp_extract_all(html, F.lit(r"(?is)(<img\b[^>]*>)"), F.lit(1)), lambda t: F.struct(_let(F.trim(source(t)), lambda u: urls.resolve(url, u)).alias("url"), collapse(first(t, "alt", "title")).alias("alt")))
     found = F.filter(F.concat(social, shown), lambda x: x["url"].isNotNull() & (x["url"] != ""))
-    fresh = F.filter(F.transform(found, lambda x, i: F.struct(x.alias("x"), F.array_position(F.transform(found, lambda y: y["url"]), x["url"]).alias("p"), i.alias("i"))), lambda t: t["p"] == t["i"] + 1)
-    return F.slice(F.transform(fresh, lambda t: t["x"]), 1, MAX_IMAGES)
+
+    def distinct(every: Column) -> Column:
+        placed = F.transform(every, lambda x, i: F.struct(x.alias("x"), F.array_position(F.transform(every, lambda y: y["url"]), x["url"]).alias("p"), i.alias("i")))
+        return F.slice(F.transform(F.filter(placed, lambda t: t["p"] == t["i"] + 1), lambda t: t["x"]), 1, MAX_IMAGES)
+
+    return _let(found, distinct)
 
 
 def local_title(html: Column, stem: Column) -> Column:

@@ -56,6 +56,17 @@ class Index:
             tables["impacts"] = self.impacts().repartitionByRange("term", "impact").sortWithinPartitions("term", F.desc("impact"))
         return save_tables(tables, root)
 
+    def stored(self) -> Index:
+        """The same index read from tables in the shared folder: built once, however often a plan looks at it."""
+        import uuid
+
+        from quern.session import shared_dir
+
+        spark = self.documents.sparkSession
+        root = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+        self.save(root)
+        return Index.load(spark, root, self.stemmed)
+
     @staticmethod
     def load(spark, root: str, stemmed: bool = False) -> Index:
         from quern.sources.sinks import load_tables

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.session import shared_dir
+
 DAMPING, ROUNDS = 0.85, 40
 
 
@@ -24,14 +26,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = DAMPING, round
     """
     spark = nodes.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if not shared and spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master:
-            import tempfile
-
-            shared = tempfile.mkdtemp(prefix="quern-ranks-")
-        if not shared:
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(shared)
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
     out = edges.groupBy("src").agg(F.count("*").alias("out"))
     weighted = edges.groupBy("src", "dst").agg(F.count("*").alias("n")).join(out, "src").select("src", "dst", (F.col("n") / F.col("out")).alias("w")).checkpoint()
     n = nodes.count()

@@ -165,10 +165,21 @@ def vertical_images(spark, sf_dir):
 
 
 LEAD = "lower(substr(x, 1, 2000))"
-FRESH_SCORE = f"(2 * {_any('h', verticals.FRESH_HOST_START, 'startswith')}::INT + 2 * {_any('u', verticals.FRESH_URL)}::INT + 2 * {_any('t', verticals.FRESH_TITLE)}::INT + {_any(LEAD, verticals.FRESH_TEXT)}::INT)"
-
-
-@query(f"WITH {PAGE_DOCS} SELECT page_id, CASE WHEN {FRESH_SCORE} < 2 THEN NULL {' '.join(f'''WHEN {_any('u', n)} OR {_any('t', n)} OR {_any(LEAD, n)} THEN '{k}' ''' for k, n in verticals.LABELS.items())} ELSE 'Fresh' END AS label FROM pd")
+# Fixed values, spelt out for the SQL.
+SQL_HOSTS = ['news.', 'blog.']
+SQL_URLS = ['/news/', '/blog/', '/posts/', '/articles/', '/press/', '/releases/', '/release-notes', '/changelog', '/changelogs/', '/updates/', '/announcements/', '/security/', '/advisories/', '/cve/', '/whats-new', '/what-s-new']
+SQL_TITLES = ['release notes', 'changelog', 'change log', 'security advisory', 'announcing', 'announcement', 'released', 'latest', "what's new", 'whats new', 'news', 'update', 'updates', 'cve-']
+SQL_LEADS = ['release notes', 'changelog', 'security advisory', 'announcing', "what's new", 'whats new', 'published', 'updated']
+SQL_LABELS = {
+    'Security': ['security', 'advisory', 'advisories', 'cve-', 'cve/'],
+    'Release': ['release notes', 'release-note', 'releases/', 'released', 'changelog', 'change log', 'changelogs/'],
+    'Update': ["what's new", 'whats new', 'whats-new', 'what-s-new', 'update', 'updates', 'updated'],
+    'News': ['news.', '/news/', '/blog/', '/posts/', '/articles/', '/press/', 'announcing', 'announcement', 'news'],
+}
+FRESH_SCORE = f"(2 * {_any('h', SQL_HOSTS, 'startswith')}::INT + 2 * {_any('u', SQL_URLS)}::INT + 2 * {_any('t', SQL_TITLES)}::INT + {_any(LEAD, SQL_LEADS)}::INT)"
+
+
+@query(f"WITH {PAGE_DOCS} SELECT page_id, CASE WHEN {FRESH_SCORE} < 2 THEN NULL {' '.join(f'''WHEN {_any('u', n)} OR {_any('t', n)} OR {_any(LEAD, n)} THEN '{k}' ''' for k, n in SQL_LABELS.items())} ELSE 'Fresh' END AS label FROM pd")
 def vertical_fresh_label(spark, sf_dir):
     d = page_docs(spark, sf_dir)
     return d.select("page_id", verticals.fresh_label(F.col("url"), F.col("title"), F.col("text"), F.col("published")).alias("label"))

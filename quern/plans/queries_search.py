@@ -356,7 +356,7 @@ def hybrid_search(spark, sf_dir):
     vectors = semantic.embedded(semantic.passages(docs), embed)
     words = F.array_join(F.slice(F.split("text", r"\s+"), 1, 6), " ")
     q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), words.alias("q"))
-    hits = Engine(I.build(docs, stemmed=True, unique=True), vectors, embed).search(q, Options(k=10))
+    hits = Engine(I.build(docs, stemmed=True, unique=True).stored(), vectors, embed).search(q, Options(k=10))
     return hits.select("query_id", "rank", "doc_id", "url", F.round("score", 6).alias("score"), "snippet")
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -19,13 +22,22 @@ def local_session(cores: int | str = "*", memory: str = "8g", partitions: int =
     )
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one on a local master without it."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or getattr(spark.sparkContext, "_quern_shared", None)
+    if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = spark.sparkContext._quern_shared = "file://" + tempfile.mkdtemp(prefix="quern-shared-")
+    return found.rstrip("/")
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors' Python, once a session; they may run from any folder."""
     sc = spark.sparkContext
     if getattr(sc, "_quern_shipped", False):
         return
     import shutil
-    import tempfile
     from pathlib import Path
 
     package = Path(__file__).parent
