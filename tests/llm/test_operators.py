@@ -435,6 +435,23 @@ def test_decontamination_of_texts_shorter_than_items(spark):
     assert {r.doc_id for r in decontaminate.clean(docs, bench).collect()} == set(range(len(texts))) - {i for i, _ in want}
 
 
+def test_radius_keeps_similar_windows():
+    """Of edited items that reach similarity 0.8 next to none lies beyond the radius."""
+    rng = random.Random(13)
+    ids, near, kept = WordIds(), 0, 0
+    print_of = lambda s: int(decontaminate.fingerprints(decontaminate.sign_sums(s), np.zeros(1, np.int64), len(s))[0])
+    for _ in range(4000):
+        words = [f"w{rng.randrange(500)}" for _ in range(rng.choice((12, 25, 50, 120)))]
+        edited = list(words)
+        for _ in range(rng.randint(1, 3)):
+            edited[rng.choice((0, 1, -1, rng.randrange(len(edited))))] = "new"
+        a, b = shingle_hashes(words, ids), shingle_hashes(edited, ids)
+        if decontaminate.similarity(Counter(a.tolist()), Counter(b.tolist())) >= 0.8:
+            near += 1
+            kept += (print_of(a) ^ print_of(b)).bit_count() <= decontaminate.RADIUS
+    assert near > 800 and kept >= 0.999 * near
+
+
 def test_hamming_index_finds_all_within_radius():
     rng = np.random.default_rng(0)
     index = decontaminate.Index([(i, " ".join(f"w{rng.integers(99)}" for _ in range(12))) for i in range(30)])
