@@ -47,14 +47,18 @@ class Index:
         part = rank.bm25f(*(F.col(c) for c in ("idf", "tf_title", "tf_body", "len_title", "len_body", "avg_title", "avg_body")))
         return rows.select("term", "doc_id", part.alias("impact"))
 
-    def save(self, root: str, impacts: bool = False) -> str:
-        """Write the index as the current version under ``root``, with its ``impacts`` if asked for."""
+    def save(self, root: str, impacts: bool = False, **sidecars: DataFrame) -> str:
+        """Write the index as the current version under ``root``, with its ``impacts`` if asked for.
+
+        ``sidecars`` are further tables of the version, such as tombstones (doc_id), ranks (doc_id, rank)
+        or vectors; ``load`` applies tombstones and ranks, ``sinks.load_tables`` gives all of them.
+        """
         from quern.sources.sinks import save_tables
 
         tables = {"documents": self.documents, "postings": self.postings.repartition("term").sortWithinPartitions("term", "doc_id")}
         if impacts:
             tables["impacts"] = self.impacts().repartitionByRange("term", "impact").sortWithinPartitions("term", F.desc("impact"))
-        return save_tables(tables, root)
+        return save_tables(tables | sidecars, root)
 
     def stored(self) -> Index:
         """The same index read from tables in the shared folder: built once, however often a plan looks at it."""
@@ -72,7 +76,10 @@ class Index:
         from quern.sources.sinks import load_tables
 
         tables = load_tables(spark, root)
-        return Index(tables["documents"], tables["postings"], stemmed)
+        found = Index(tables["documents"], tables["postings"], stemmed)
+        if "ranks" in tables:
+            found = ranked(found, tables["ranks"])
+        return without(found, tables["tombstones"]) if "tombstones" in tables else found
 
 
 def indexed_text(docs: DataFrame) -> Column:
@@ -115,14 +122,18 @@ def build(docs: DataFrame, stemmed: bool = False, unique: bool = False) -> Index
     """
     if not unique:
         docs = last_by_url(docs)
-    have = set(docs.columns)
-    defaults = {"images": F.array().cast("array<struct<url:string,alt:string>>"), "published": F.lit(0).cast("long"), "rank": F.lit(0.0)}
-    docs = docs.withColumns({k: v for k, v in defaults.items() if k not in have})
+    docs = with_defaults(docs)
     rows = analyzed(docs, stemmed)
     kept = rows.select("doc_id", "url", "title", T.stored_text(F.col("text")).alias("text"), "images", "published", "rank", "len_title", "len_body", T.content_hash(F.col("title"), indexed_text(docs), F.col("published")).alias("hash"))
     return Index(kept, postings_of(rows), stemmed)
 
 
+def with_defaults(docs: DataFrame) -> DataFrame:
+    """``docs`` with the optional columns that it lacks; content hashes are taken with them in place."""
+    defaults = {"images": F.array().cast("array<struct<url:string,alt:string>>"), "published": F.lit(0).cast("long"), "rank": F.lit(0.0)}
+    return docs.withColumns({k: v for k, v in defaults.items() if k not in docs.columns})
+
+
 def last_by_url(docs: DataFrame) -> DataFrame:
     """One row a url, that of the greatest doc_id; only urls and ids are exchanged to find it."""
     last = docs.groupBy("url").agg(F.max("doc_id").alias("doc_id")).select("doc_id")
@@ -151,6 +162,12 @@ def without(index: Index, tombstones: DataFrame) -> Index:
     return Index(index.documents.join(dead, "doc_id", "left_anti"), index.postings.join(dead, "doc_id", "left_anti"), index.stemmed)
 
 
+def ranked(index: Index, ranks: DataFrame) -> Index:
+    """The index with the ranks (doc_id, rank) of a link graph; documents without one have 0."""
+    documents = index.documents.drop("rank").join(ranks.select("doc_id", "rank"), "doc_id", "left").withColumn("rank", F.coalesce("rank", F.lit(0.0)))
+    return Index(documents.select(*index.documents.columns), index.postings, index.stemmed)
+
+
 def union(a: Index, b: Index) -> Index:
     return Index(a.documents.unionByName(b.documents), a.postings.unionByName(b.postings), a.stemmed)
 
@@ -160,7 +177,7 @@ def apply_update(index: Index, store: DataFrame, first_id: int) -> tuple[Index,
 
     Changed and deleted documents get tombstones; changed and added ones are indexed under new ids from ``first_id``.
     """
-    hashed = store if "published" in store.columns else store.withColumn("published", F.lit(0).cast("long"))
+    hashed = with_defaults(store)
     hashed = hashed.withColumn("hash", T.content_hash(F.col("title"), indexed_text(hashed), F.col("published")))
     status = diff(hashed, index.documents)
     gone = index.documents.join(status.where("status in ('changed', 'deleted')"), "url").select("doc_id")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quern.functions import cards, html, shortcuts
@@ -14,6 +16,7 @@ from quern.plans.queries_misc import GAIN, IDEAL, JUDGED, judged, rank_sql
 from quern.plans.queries_search import AS_OF, BENCH_TERMS, BM25, QT, SPAN, STOP, TERMS, TOP10, benchmark_terms, simple_index
 from quern.plans.registry import DOCS, ORACLES, corpus, literal, query, table, tok, values, words_sql
 from quern.plans.search import Engine, Options
+from quern.session import shared_dir
 from quern.sources import feeds, records, sinks
 from quern.streaming import ingest
 
@@ -271,3 +274,107 @@ def generated_answers(spark, sf_dir):
     """A caller's model over the prompts; this one repeats the question."""
     asked = literal(spark, [(0, "why?"), (1, "how?")], "query_id long, q string")
     return shape.generate(shape.prompts(shape.answer_context(*_context(spark)), asked), lambda p: p.splitlines()[-2])
+
+
+def _folder(spark, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+LIVE = "doc_id % 9 <> 0"
+LIVE_TOP = f"WITH {QT}, {BM25} SELECT doc_id, round(score, 6) AS score FROM bm".replace("FROM documents)", f"FROM documents WHERE {LIVE})")
+
+
+def _live_scores(ix):
+    scored = R.lexical(ix, R.matches(ix, literal(ix.documents.sparkSession, [(0, t) for t in TERMS], "query_id long, term string")))
+    return scored.select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query(LIVE_TOP)
+def tombstoned_scores(spark, sf_dir):
+    """Scores of what is left when every ninth document has a tombstone; statistics count live documents."""
+    ix = simple_index(spark, sf_dir)
+    return _live_scores(I.without(ix, ix.documents.where(f"not ({LIVE})")))
+
+
+@query(LIVE_TOP)
+def compacted_scores(spark, sf_dir):
+    """The same after compaction, from the version that was written."""
+    ix = simple_index(spark, sf_dir)
+    return _live_scores(I.compact(ix, ix.documents.where(f"not ({LIVE})"), _folder(spark, "compacted")))
+
+
+@query(f"WITH {BM25.split('scored AS')[0].rstrip().rstrip(',')} SELECT term, df FROM df".replace("WITH ,", "WITH "))
+def index_reloaded(spark, sf_dir):
+    """Document frequencies of an index that was saved and loaded."""
+    return simple_index(spark, sf_dir).stored().doc_frequency()
+
+
+@query("SELECT 'https://' || source || '.example.com/' || lang || '/' || doc_id AS url, md5(text) AS digest, ((18262 + doc_id * 37 % 2000) * 86400)::BIGINT AS published FROM documents")
+def record_round_trip(spark, sf_dir):
+    """All documents written as record texts and parsed again."""
+    docs = corpus(spark, sf_dir).withColumns({"links": F.array().cast("array<string>"), "images": F.array().cast("array<struct<url:string,alt:string>>")})
+    back = records.parse_records(docs.select(sinks.record_text().alias("value")))
+    return back.select("url", F.md5("text").alias("digest"), "published")
+
+
+@query("SELECT 'u' || doc_id AS url, CASE WHEN doc_id % 5 = 2 OR (doc_id % 7 = 0 AND doc_id % 5 <> 1) THEN 'new' ELSE 'old' END AS part FROM documents WHERE doc_id % 5 <> 1")
+def update_applied(spark, sf_dir):
+    """An index brought up to date: what is unchanged keeps its id, the rest of the store has new ones."""
+    d = table(spark, sf_dir, "documents")
+    url = F.concat(F.lit("u"), F.col("doc_id").cast("string")).alias("url")
+    old = I.build(d.where("doc_id % 5 <> 2").select("doc_id", url, F.lit("t").alias("title"), "text"), unique=True)
+    store = d.where("doc_id % 5 <> 1").select(url, F.lit("t").alias("title"), F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit(" more"))).otherwise(F.col("text")).alias("text"))
+    new, _ = I.apply_update(old, store, 1 << 40)
+    return new.documents.select("url", F.when(F.col("doc_id") >= 1 << 40, "new").otherwise("old").alias("part"))
+
+
+def _ingested(spark, sf_dir):
+    """Two batches of records: every second document, then all, under urls that pairs of documents share."""
+    root = _folder(spark, "ingested")
+    docs = corpus(spark, sf_dir).withColumn("url", F.concat(F.lit("u"), F.floor(F.col("doc_id") / 2).cast("string"))).drop("doc_id")
+    counts = [ingest.ingest_batch(spark, root, part, i) for i, part in enumerate((docs.where(F.crc32("url") % 2 == 0), docs))]
+    return root, counts
+
+
+@query("SELECT 1 AS batch, count(*) AS received, count(DISTINCT doc_id // 2) AS urls FROM documents")
+def ingest_counts(spark, sf_dir):
+    """What the second batch received, and the urls that both have added together."""
+    _, counts = _ingested(spark, sf_dir)
+    return literal(spark, [(1, counts[1]["received"], counts[0]["added"] + counts[1]["added"])], "batch int, received long, urls long")
+
+
+@query("SELECT count(DISTINCT doc_id // 2) AS size, 2 AS segments FROM documents")
+def segment_totals(spark, sf_dir):
+    root, _ = _ingested(spark, sf_dir)
+    return ingest.segments(spark, root).agg(F.sum("size").alias("size"), F.count("*").cast("int").alias("segments"))
+
+
+SMALL = [(0, "https://a.org", "Rust ownership and borrowing", "rust ownership"), (1, "https://b.org", "Search engine ranking", "search engine")]
+
+
+def _small(spark):
+    return Engine(I.build(literal(spark, SMALL, "doc_id long, url string, title string, text string"), True))
+
+
+@query("SELECT * FROM (VALUES (0::BIGINT, 'rust ownership'), (1, 'search engine')) t(query_id, corrected)")
+def did_you_mean(spark, sf_dir):
+    """Corrections that find something."""
+    asked = literal(spark, [(0, "rust ownrship"), (1, "serch engne"), (2, "rust ownership"), (3, "zzzzzzzz")], "query_id long, q string")
+    return _small(spark).did_you_mean(asked)
+
+
+@query("SELECT * FROM (VALUES (1, 2::BIGINT, 'Published'), (2, 1, 'Published'), (3, 3, 'Release')) t(rank, doc_id, fresh_label)")
+def fresh_vertical_order(spark, sf_dir):
+    """The fresh vertical shows dated and fresh pages only, the newest of equal ones first."""
+    docs = [(0, "https://x.org/a", "Alpha plain", "alpha", 0), (1, "https://x.org/b", "Alpha b", "alpha", 1700000000), (2, "https://x.org/c", "Alpha c", "alpha", 1760000000), (3, "https://x.org/changelog", "Alpha changelog", "alpha", 0)]
+    engine = Engine(I.build(literal(spark, docs, "doc_id long, url string, title string, text string, published long")))
+    hits = engine.search(literal(spark, [(0, "alpha")], "query_id long, q string"), Options(vertical="fresh", as_of=AS_OF))
+    return hits.select("rank", "doc_id", "fresh_label")
+
+
+@query("SELECT * FROM (VALUES (1, 1::BIGINT), (2, 0)) t(rank, doc_id)")
+def ranked_search(spark, sf_dir):
+    """Of equal matches the page with the greater rank comes first."""
+    docs = [(0, "u0", "t", "alpha beta", 0.1), (1, "u1", "t", "alpha beta", 0.9)]
+    engine = Engine(I.build(literal(spark, docs, "doc_id long, url string, title string, text string, rank double")))
+    return engine.search(literal(spark, [(0, "alpha")], "query_id long, q string")).select("rank", "doc_id")

@@ -149,3 +149,18 @@ def test_ranks_settle(spark):
 def test_lulls(spark, gap, n):
     e = spark.createDataFrame([("2024-01-01 00:00:00",), ("2024-01-01 00:00:03",), ("2024-01-01 00:01:00",)], "ts string").select(F.col("ts").cast("timestamp").alias("ts"))
     assert telemetry.lulls(e, gap).count() == n
+
+
+def test_sidecars_of_a_version(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"u{i}", "t", "alpha beta") for i in range(3)], DOCS)
+    root = str(tmp_path / "index")
+    I.build(docs).save(root, tombstones=spark.createDataFrame([(1,)], "doc_id long"), ranks=spark.createDataFrame([(0, 0.1), (2, 0.9)], "doc_id long, rank double"))
+    hits = Engine(I.Index.load(spark, root)).search(spark.createDataFrame([(0, "alpha")], "query_id long, q string")).orderBy("rank").collect()
+    assert [h.doc_id for h in hits] == [2, 0]
+
+
+def test_update_leaves_what_is_unchanged(spark):
+    index = I.build(spark.createDataFrame([(0, "a", "A", "one"), (1, "b", "B", "two")], DOCS))
+    new, status = I.apply_update(index, spark.createDataFrame([("a", "A", "one"), ("b", "B", "two more")], "url string, title string, text string"), 100)
+    assert {(r.url, r.status) for r in status.collect()} == {("a", "unchanged"), ("b", "changed")}
+    assert {r.url: r.doc_id >= 100 for r in new.documents.collect()} == {"a": False, "b": True}
