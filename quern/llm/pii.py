@@ -5,12 +5,14 @@
    before it, the word after it, and its own shape (digits as 9, runs of letters as a). Pattern-instance
    edges are counted over all documents, each pair once.
 3. A pattern's confidence is the share of its instances that are accepted, which are the seeds at first;
-   patterns with too few accepted instances or too low a confidence count for nothing. An instance's
-   trust is one minus the product of its patterns' doubts; those whose trust reaches TRUST are accepted
-   too. Both are worked out again until no instance is added; as none is ever given up, that ends.
+   patterns with too few accepted instances or too low a confidence count for nothing. A context (an
+   instance with the words at its sides) is trusted by one minus the product of its own patterns'
+   doubts. An instance is accepted too if half of its different contexts or more reach TRUST, so what is met
+   everywhere isn't accepted for a few chance neighbours. Both are worked out again until no instance
+   is added; as none is ever given up, that ends.
 4. Accepted tokens that no base rule covers become spans of kind ``context``.
 
-A shape alone never reaches TRUST, nor does a word; it takes both, or two words, to accept an instance.
+A shape alone never reaches TRUST, nor does a word; it takes both, or two words, to trust a context.
 
 Defined cases: null text counts as empty; a null doc_id is kept, ids of any type are; repeated rows are
 scanned each by itself; an empty table gives an empty result; further columns are ignored. Base spans
@@ -41,6 +43,7 @@ LEAST_PATTERN = 3  # accepted instances that a pattern needs
 LEAST_CONFIDENCE = {"b": 0.8, "a": 0.8, "s": 0.5}  # of words before, words after and shapes
 MOST_CONFIDENCE = 0.89  # below TRUST
 TRUST = 0.9
+SHARE = 0.5  # of an instance's contexts that must reach it
 NEAR = 200  # characters beside a token that are looked at first for its words
 
 
@@ -82,11 +85,13 @@ def bootstrap(scratch: Scratch, found_in: DataFrame) -> DataFrame:
     pattern or value that fills the corpus is one row from each task before the exchange. What is
     joined back to the edges is a table of its own, so that Spark can split a frequent pattern.
     """
-    pattern = F.explode(F.array(*(F.struct(F.lit(side).alias("side"), F.col(c).alias("word")) for side, c in (("b", "before"), ("a", "after"), ("s", "shape")))))
-    edges = found_in.select("value", "seed", pattern.alias("p")).where("p.word <> '' and value <> ''").groupBy("p.side", "p.word", "value").agg(F.max("seed").alias("seed"))
-    edges = scratch.table(edges, "edges")
-    seeds = scratch.table(edges.groupBy("value").agg(F.max("seed").alias("seed")), "seeds")
-    accepted, n = seeds.where("seed").select("value"), -1
+    contexts = found_in.where("value <> ''").groupBy("value", "before", "after", "shape").agg(F.max("seed").alias("seed"))
+    contexts = scratch.table(contexts, "contexts")
+    sides = {"b": "before", "a": "after", "s": "shape"}
+    pattern = F.explode(F.array(*(F.struct(F.lit(side).alias("side"), F.col(c).alias("word")) for side, c in sides.items())))
+    edges = scratch.table(contexts.select("value", pattern.alias("p")).where("p.word <> ''").select("p.side", "p.word", "value").distinct(), "edges")
+    seeds = scratch.table(contexts.groupBy("value").agg(F.max("seed").alias("seed")).where("seed").select("value"), "seeds")
+    accepted, n = seeds, -1
     least = F.create_map(*(F.lit(x) for pair in LEAST_CONFIDENCE.items() for x in pair))
     while n != (now := accepted.count()):
         n = now
@@ -95,11 +100,14 @@ def bootstrap(scratch: Scratch, found_in: DataFrame) -> DataFrame:
         conf = F.least(F.col("good") / (F.col("n") + 1), F.lit(MOST_CONFIDENCE))
         trusted = scored.where((F.col("good") >= LEAST_PATTERN) & (F.col("good") / F.col("n") >= least[F.col("side")])).select("side", "word", conf.alias("conf"))
         trusted = scratch.table(trusted, "patterns")
-        reached = edges.join(trusted, ["side", "word"]).groupBy("value").agg(F.sum(F.log(1 - F.col("conf"))).alias("doubt"))
-        reached = reached.where(1 - F.exp("doubt") >= TRUST).select("value")
+        judged, doubt = contexts.select("value", *sides.values()), F.lit(1.0)
+        for side, c in sides.items():
+            judged = judged.join(trusted.where(F.col("side") == side).select(F.col("word").alias(c), F.col("conf").alias(side)), c, "left")
+            doubt = doubt * (1 - F.coalesce(side, F.lit(0.0)))
+        reached = judged.groupBy("value").agg(F.avg((1 - doubt >= TRUST).cast("double")).alias("share")).where(F.col("share") >= SHARE).select("value")
         accepted = scratch.table(accepted.union(reached).distinct(), "accepted")
         scratch.drop(trusted)
-    return accepted.join(seeds.where("seed"), "value", "left_anti")
+    return accepted.join(seeds, "value", "left_anti")
 
 
 def extract(docs: DataFrame) -> DataFrame:
