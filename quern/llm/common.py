@@ -64,6 +64,14 @@ class Scratch:
         return f"{self.root}/{self.n}-{name}"
 
 
+PART_BYTES, LEAST_PART_BYTES = 64 << 20, 4 << 20
+
+
+def parts_for(spark: SparkSession, size: int) -> int:
+    """Partitions for ``size`` bytes: of PART_BYTES at most, but as many as shuffles have if each gets LEAST_PART_BYTES."""
+    return max(1, -(-size // PART_BYTES), min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // LEAST_PART_BYTES)))
+
+
 _HELD: list = []  # what this worker process holds between tasks: (key, value) of the last operator only
 
 

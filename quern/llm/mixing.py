@@ -28,13 +28,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quern.llm.common import Scratch
+from quern.llm.common import Scratch, parts_for
 
 MAX_REPEAT = 2.0
 LEVELS = 5  # bisections that one pass over the sources decides
 PASSES = 7
 BITS = 12  # of the hash that one round of cutting reads
 SEED = "mix"
+BYTES = 8  # of text to a token, about, for the number of partitions
 
 
 def n_tokens(text: Column) -> Column:
@@ -121,18 +122,18 @@ def place_of() -> Column:
     return F.conv(F.substring(F.md5(keyed.cast("binary")), 1, PLACE_BITS // 4), 16, 10).cast("long").alias("place")
 
 
-def shares(docs: DataFrame, names: list[str], **options) -> DataFrame:
-    """row (the columns ``names`` of ``docs``), weight, copies, place of each row."""
+def shares(docs: DataFrame, names: list[str], **options) -> tuple[DataFrame, DataFrame]:
+    """row (the columns ``names`` of ``docs``), weight, copies, place of each row; and the sources of ``plan``."""
     sources, _ = plan(docs, **options)
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), key_of(), place_of())
     share = sources.select("key", "weight", F.col("copies").alias("n"), "cut")
-    return rows.join(share, "key").select("row", "weight", (F.col("n") + (F.col("place") < F.col("cut")).cast("long")).alias("copies"), "place")
+    return rows.join(share, "key").select("row", "weight", (F.col("n") + (F.col("place") < F.col("cut")).cast("long")).alias("copies"), "place"), sources
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """``docs`` (doc_id, text, source and any more) with mix_weight, mix_copies and mix_place."""
     names = [c for c in docs.columns if c not in ("mix_weight", "mix_copies", "mix_place")]
-    return shares(docs, names, **options).select("row.*", *(F.col(c).alias(f"mix_{c}") for c in ("weight", "copies", "place")))
+    return shares(docs, names, **options)[0].select("row.*", *(F.col(c).alias(f"mix_{c}") for c in ("weight", "copies", "place")))
 
 
 def realise(docs: DataFrame, with_place: bool = False, **options) -> DataFrame:
@@ -141,9 +142,11 @@ def realise(docs: DataFrame, with_place: bool = False, **options) -> DataFrame:
     ``with_place`` adds mix_epoch, mix_block and mix_place, which the order goes by.
     """
     names = [c for c in docs.columns if not with_place or c not in ("mix_epoch", "mix_block", "mix_place")]
-    mixed = shares(docs, names, **options).where("copies > 0")
+    rows, sources = shares(docs, names, **options)
+    tokens = sources.agg(F.sum(F.col("tokens") * (F.col("copies") + 1))).first()[0] or 0
+    mixed = rows.where("copies > 0")
     every = mixed.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("epoch"), "place")
-    dealt = every.repartitionByRange("epoch", "place").sortWithinPartitions("epoch", "place")
+    dealt = every.repartitionByRange(parts_for(docs.sparkSession, BYTES * tokens), "epoch", "place").sortWithinPartitions("epoch", "place")
     places = [F.col("epoch").alias("mix_epoch"), F.shiftright("place", PLACE_BITS - BITS).alias("mix_block"), F.col("place").alias("mix_place")]
     return dealt.select("row.*", *places[: 3 * with_place])
 
@@ -152,7 +155,8 @@ def realise(docs: DataFrame, with_place: bool = False, **options) -> DataFrame:
 ORACLE_SQL = rf"""
 WITH RECURSIVE d AS (SELECT doc_id, source, CASE WHEN source IS NULL THEN 'null' ELSE '=' || source END AS key,
   len(regexp_extract_all(coalesce(text, ''), '[^ 	
-]+'))::BIGINT AS tokens,
+
+]+'))::BIGINT AS tokens,
   ('0x' || substr(md5('{SEED}' || coalesce(doc_id::VARCHAR, 'null')), 1, {PLACE_BITS // 4}))::BIGINT AS place FROM documents),
 s AS (SELECT key, sum(tokens)::BIGINT AS tokens FROM d GROUP BY key),
 t AS (SELECT sum(tokens)::DOUBLE AS total, min(tokens)::DOUBLE AS least, max(tokens)::DOUBLE AS most, list(tokens::DOUBLE) AS each FROM s WHERE tokens > 0),

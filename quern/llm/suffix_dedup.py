@@ -41,12 +41,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import Scratch, held, id_key, lean, stored
+from quern.llm.common import Scratch, held, id_key, lean, parts_for, stored
 
 LENGTH, SPAN = 200, 128  # SPAN is a power of two
 SHARED = LENGTH - SPAN + 1
 SAMPLE = 8  # suffixes for each splitter, about
-PART_BYTES, LEAST_PART_BYTES = 64 << 20, 4 << 20  # in a merge task, at most about; and where there are fewer than shuffle partitions
 HOT = 10_000  # different surroundings of one beginning that a merge task takes
 FEW = 12  # neighbours that are compared pair by pair; more go by runs
 
@@ -348,7 +347,7 @@ def removed_spans(docs: DataFrame) -> DataFrame:
     if some_hot:
         rows = scratch.table(rows, "rows")
     total, size = owners.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
-    parts = max(1, -(-size // PART_BYTES), min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // LEAST_PART_BYTES)))
+    parts = parts_for(docs.sparkSession, size)
     rate = max(1, total // max(8192, SAMPLE * parts))
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
