@@ -36,7 +36,7 @@ K = 5
 THRESHOLD = 0.8
 RECALL = 0.9995
 MOST_HASHES = 112
-TILE = 768  # classes on a side of a tile, at most about
+TILE = 256  # classes on a side of a tile, at most about
 TILE_KEY = ["root", "lo", "i", "hi", "j"]
 TILE_BYTES = 12 << 20  # bytes of shingle hashes on a side of a tile, at most about; a single set may be larger
 
