@@ -34,15 +34,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quern.llm.common import NO_ID, Scratch, held, lean, whole_ids
+from quern.llm.common import NO_ID, Scratch, held, lean, parts_for, whole_ids
 
 MAGIC = b"QTOK0001"
 BLOCK = 1 << 16
 END_ID = 2
-CACHED = 200_000  # words whose ids a worker remembers, in each of two generations
+CACHED = 400_000  # words whose ids a worker remembers, in each of two generations
 LONGEST = 48  # longer ones are not remembered
-PART_BYTES = 64 << 20  # of text in a part of the range exchange, at most about
-LEAST_PART_BYTES = 4 << 20  # of text in a part where there are fewer parts than shuffle partitions
 FILE_IDS, FILE_DOCS = 1 << 26, 1 << 20  # a file is closed at the document that reaches either
 GROUP = 1024  # parts whose files are summed together
 META = "part int, piece int, path string, n_docs long, n_tokens long"
@@ -215,7 +213,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID) ->
     spark = docs.sparkSession
     scratch = Scratch(spark, "token-files")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-size // PART_BYTES), min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // LEAST_PART_BYTES)))
+    n = parts_for(spark, size)
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("dk")
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(key, F.xxhash64(text).alias("th"), text.alias("text")).repartitionByRange(n, "dk", "th").sortWithinPartitions("dk", "th").drop("th")
