@@ -347,7 +347,7 @@ def removed_spans(docs: DataFrame) -> DataFrame:
     if some_hot:
         rows = scratch.table(rows, "rows")
     total, size = owners.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
-    parts = parts_for(docs.sparkSession, size)
+    parts = 4 * parts_for(docs.sparkSession, size)  # so small that a few which fall to one task by hash do no harm
     rate = max(1, total // max(8192, SAMPLE * parts))
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -414,7 +414,7 @@ def removed_spans(docs: DataFrame) -> DataFrame:
         if found:
             yield solve(found, marks)
 
-    dealt = rows.mapInArrow(lean(runs), "part int, run binary, often binary").repartitionById(parts, "part").sortWithinPartitions("part")
+    dealt = rows.mapInArrow(lean(runs), "part int, run binary, often binary").repartition(parts, "part").sortWithinPartitions("part")
     hits = dealt.mapInArrow(lean(merged), "d1 long, d2 long, from int, to int")
     hits = scratch.table(hits.unionByName(hot_hits(rows)) if some_hot else hits, "hits")
     scratch.drop(segments, owners, hot, *[rows] * some_hot)
