@@ -66,7 +66,7 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunk_dedup.dedup(table(spark, sf_dir, "documents")).drop("removed")
+    return chunk_dedup.digest(chunk_dedup.dedup(table(spark, sf_dir, "documents"), with_text=True))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

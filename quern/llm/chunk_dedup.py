@@ -9,7 +9,8 @@ then least text hash, then the first of equal rows, then least position) stays;
 
 Texts are chunked once; the chunks are kept in the shared folder. Digests are summed within tasks
 before the exchange, and those that repeat are joined back from a table of their own, so that Spark can
-split a chunk that every document carries.
+split a chunk that every document carries. Asked for the texts, it stores them beside their chunks and
+joins each to its removed chunks by the row's number, so that each is cut where it was chunked.
 
 A shared passage is caught if two boundaries fall into it: with REACH 48 that takes about 130 bytes
 more than the chunk between them. Shorter repeats are left, which keeps common phrases whole.
@@ -135,30 +136,39 @@ def removals(scratch: Scratch, rows: DataFrame) -> DataFrame:
     return out.select("rid", F.size("removed").cast("long").alias("n_dup_chunks"), "n_shared", "n_removed", F.array_sort("removed").alias("removed"))
 
 
-def dedup(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_dup_chunks, n_shared, n_removed, removed of each row of ``docs``."""
+def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
+    """doc_id, n_bytes, n_dup_chunks, n_shared, n_removed, removed of each row of ``docs``; ``with_text`` adds kept, the text without its removed chunks."""
     scratch = Scratch(docs.sparkSession, "chunks")
-    rows = scratch.table(chunked(docs), "chunks")
+    rows = scratch.table(chunked(docs, with_text), "chunks")
     zero = F.lit(0).cast("long")
     counts = (F.coalesce(c, zero).alias(c) for c in ("n_dup_chunks", "n_shared", "n_removed"))
-    return rows.select("rid", "doc_id", "n_bytes").join(removals(scratch, rows), "rid", "left").select("doc_id", "n_bytes", *counts, F.coalesce("removed", F.array().cast(SPAN)).alias("removed"))
-
-
-def kept_texts(docs: DataFrame) -> DataFrame:
-    """doc_id, text: the texts without their removed chunks."""
-    scratch = Scratch(docs.sparkSession, "chunks")
-    rows = scratch.table(chunked(docs, with_text=True), "chunks")
+    found = rows.drop("dk", "th", "chunks").join(removals(scratch, rows), "rid", "left")
+    found = found.select("doc_id", "n_bytes", *counts, F.coalesce("removed", F.array().cast(SPAN)).alias("removed"), *["text"] * with_text)
+    if not with_text:
+        return found
+    names = found.columns[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = []
+            kept = []
             for text, spans in zip(b.column("text"), b.column("removed")):
                 data, parts, last = text.as_py().encode(), [], 0
-                for s in spans.as_py() or ():
+                for s in spans.as_py():
                     parts.append(data[last : s["start"]])
                     last = s["start"] + s["size"]
-                texts.append(b"".join([*parts, data[last:]]).decode())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
+                kept.append(b"".join([*parts, data[last:]]).decode())
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(kept, pa.string())], [*names, "kept"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.select("rid", "doc_id", "text").join(removals(scratch, rows).select("rid", "removed"), "rid", "left").select("doc_id", "text", "removed").mapInArrow(lean(run), f"doc_id {kind}, text string")
+    return found.mapInArrow(lean(run), f"doc_id {kind}, n_bytes long, n_dup_chunks long, n_shared long, n_removed long, removed {SPAN}, kept string")
+
+
+def kept_texts(docs: DataFrame) -> DataFrame:
+    """doc_id, text: the texts without their removed chunks."""
+    return dedup(docs, with_text=True).select("doc_id", F.col("kept").alias("text"))
+
+
+def digest(found: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, n_dup_chunks, n_shared, n_removed of ``dedup(docs, with_text=True)``, then kept_sha256 and spans (start:end of each removed chunk, in bytes)."""
+    spans = F.transform("removed", lambda s: F.concat_ws(":", s["start"].cast("string"), (s["start"] + s["size"]).cast("string")))
+    return found.select("doc_id", "n_bytes", "n_dup_chunks", "n_shared", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"), F.concat_ws(",", spans).alias("spans"))

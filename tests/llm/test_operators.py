@@ -9,7 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from quern.llm import chunk_dedup, decontaminate, embedding_dedup, jaccard_join, language_id, mixing, pii, secret_scan, suffix_dedup, token_files
+from quern.llm import catalog, chunk_dedup, decontaminate, embedding_dedup, jaccard_join, language_id, mixing, pii, secret_scan, suffix_dedup, token_files
 from quern.llm.common import WordIds, components, Scratch, shingle_hashes, words_of
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, dk long, spans string, rank int"
@@ -553,6 +553,27 @@ def test_chunks(repeated, docs, none):
     assert named.count() == docs.count() and dict(named.dtypes)["doc_id"] == "string"
 
 
+def test_chunk_query_removes_chunks(spark, repeated, tmp_path):
+    """The registered query cuts the texts: what it keeps, by digest, is what is left without repeated chunks."""
+    repeated.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = repeated.selectExpr("coalesce(doc_id, -9223372036854775808) as i", "coalesce(text, '') as t", "xxhash64(coalesce(text, '')) as h").collect()
+    seen, want = set(), []
+    for r in sorted(rows, key=lambda r: (r.i, r.h)):
+        at, left, gone = 0, [], []
+        for c in plain_chunks(r.t.encode()):
+            if c in seen:
+                gone.append(f"{at}:{at + len(c)}")
+            else:
+                left.append(c)
+            seen.add(c)
+            at += len(c)
+        want.append((r.i, hashlib.sha256(b"".join(left)).hexdigest(), ",".join(gone)))
+    got = catalog.op10_chunk_dedup(spark, str(tmp_path)).collect()
+    assert sorted((-(2**63) if r.doc_id is None else r.doc_id, r.kept_sha256, r.spans) for r in got) == sorted(want)
+    assert sum(w[2] != "" for w in want) > 8 and all(r.n_dup_chunks == r.spans.count(":") for r in got)
+    assert sorted(hashlib.sha256(r.text.encode()).hexdigest() for r in chunk_dedup.kept_texts(repeated).collect()) == sorted(w[1] for w in want)
+
+
 def test_chunks_resist_insertions():
     rng = random.Random(9)
     data = bytes(rng.randrange(97, 123) for _ in range(20_000))
