@@ -192,38 +192,49 @@ def passages(text: Column, words_per: int = 150, most: int = 6, overlap: int = 0
     return F.transform(starts, lambda s: F.array_join(F.slice(words, s + 1, words_per), " "))
 
 
+def let(value: Column, of: Callable[[Column], Column]) -> Column:
+    """``of(value)`` with the value worked out once, however often and wherever ``of`` looks at it."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
+def word_flags(words: Column, query_terms: Column) -> Column:
+    """1 for each word that holds a token among the terms, else 0; only words that contain a term's letters are tokenized."""
+    near = lambda w: F.exists(query_terms, lambda t: F.contains(F.lower(w), t))
+    return F.transform(words, lambda w: (near(w) & F.arrays_overlap(tokenize(w), query_terms)).cast("int"))
+
+
 def best_window(flags: Column, width: int) -> Column:
     """Start of the first window of ``width`` flags (0 or 1) that holds the most; 0 for short arrays.
 
-    One fold over the array: the running count gains the flag that enters and loses the one that leaves.
+    The first best window ends with a match, or is the first of all; so windows are counted at matches alone,
+    each over the ``width`` matches before it at most.
     """
-    state = F.struct(F.lit(0).alias("i"), F.lit(0).alias("n"), F.lit(0).alias("most"), F.lit(0).alias("at"))
+    found = F.filter(F.transform(flags, lambda f, i: F.when(f == 1, i)), lambda i: i.isNotNull())
 
-    def step(acc: Column, f: Column) -> Column:
-        n = acc["n"] + f["into"] - f["out"]
-        better = (acc["i"] >= width - 1) & (n > acc["most"])
-        return F.struct((acc["i"] + 1).alias("i"), n.alias("n"), F.when(better, n).otherwise(acc["most"]).alias("most"), F.when(better, acc["i"] - (width - 1)).otherwise(acc["at"]).alias("at"))
+    def ending(hits: Column, at: Column, j: Column) -> Column:
+        inside = F.filter(F.slice(hits, F.greatest(j - (width - 2), F.lit(1)), width), lambda x: (x > at - width) & (x <= at))
+        return F.struct(F.size(inside).alias("n"), (-F.greatest(at - (width - 1), F.lit(0))).alias("back"))
 
-    left = F.concat(F.array_repeat(F.lit(0), width), flags)
-    pairs = F.zip_with(flags, F.slice(left, 1, F.size(flags)), lambda a, b: F.struct(F.coalesce(a, F.lit(0)).alias("into"), F.coalesce(b, F.lit(0)).alias("out")))
-    return F.aggregate(pairs, state, step, lambda acc: acc["at"])
+    most = let(found, lambda hits: F.array_max(F.transform(hits, lambda at, j: ending(hits, at, j))))
+    return F.coalesce(-most["back"], F.lit(0))
 
 
 def snippet(text: Column, query_terms: Column, width: int = 32, mark: bool = True, stem_words: bool = False) -> Column:
     """The window of ``width`` words with most matches; with ``mark``, escaped, matches in <mark>."""
     words = F.filter(F.split(F.trim(text), r"(?U)\s+"), lambda w: w != "")
+
+    def shown(x: Column, at: Column) -> Column:
+        part = lambda c: F.slice(x[c], at + 1, width)
+        if not mark:
+            return F.array_join(part("w"), " ")
+        marked = F.zip_with(part("w"), part("f"), lambda w, f: F.when(f == 1, F.concat(F.lit("<mark>"), html_escape(w), F.lit("</mark>"))).otherwise(html_escape(w)))
+        return F.concat(F.when(at > 0, "… ").otherwise(""), F.array_join(marked, " "), F.when(at + width < F.size(x["w"]), " …").otherwise(""))
+
+    pair = lambda w, f: F.struct(w.alias("w"), f.alias("f"))
+    of = lambda x: let(best_window(x["f"], width), lambda at: shown(x, at))
     if stem_words:
-        stems = stem_words_of(words)
-        flags = F.transform(stems, lambda ts: F.arrays_overlap(ts, query_terms).cast("int"))
-    else:
-        flags = F.transform(words, lambda w: F.arrays_overlap(tokenize(w), query_terms).cast("int"))
-    pairs = F.arrays_zip(words.alias("w"), flags.alias("f"))
-    at = best_window(flags, width)
-    shown = F.slice(pairs, at + 1, width)
-    if not mark:
-        return F.array_join(F.transform(shown, lambda x: x["w"]), " ")
-    marked = F.transform(shown, lambda x: F.when(x["f"] == 1, F.concat(F.lit("<mark>"), html_escape(x["w"]), F.lit("</mark>"))).otherwise(html_escape(x["w"])))
-    return F.concat(F.when(at > 0, "… ").otherwise(""), F.array_join(marked, " "), F.when(at + width < F.size(words), " …").otherwise(""))
+        return let(pair(words, F.transform(stem_words_of(words), lambda ts: F.arrays_overlap(ts, query_terms).cast("int"))), of)
+    return let(words, lambda ws: let(pair(ws, word_flags(ws, query_terms)), of))
 
 
 def stem_words_of(words: Column) -> Column:

@@ -252,12 +252,11 @@ m AS (SELECT *, list_has_any({tok("word")}, {TERMS!r})::INT AS hit FROM f),
 c AS (SELECT doc_id, i, n, sum(hit) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 31 FOLLOWING) AS hits FROM m)
 SELECT doc_id, first(i ORDER BY hits DESC, i)::BIGINT AS start, max(hits)::BIGINT AS hits FROM c WHERE i <= greatest(n - 32, 0) GROUP BY doc_id""")
 def snippet_window(spark, sf_dir):
-    d = corpus(spark, sf_dir)
+    d = corpus(spark, sf_dir).where(F.col("text").rlike(r"(?U)\S"))
     words = F.filter(F.split("text", r"(?U)\s+"), lambda w: w != "")
-    flags = F.transform(words, lambda w: F.arrays_overlap(T.tokenize(w), F.array(*map(F.lit, TERMS))).cast("int"))
-    rows = d.select("doc_id", flags.alias("flags")).where(F.size("flags") > 0).select("doc_id", "flags", T.best_window(F.col("flags"), 32).alias("start"))
-    hits = F.aggregate(F.slice("flags", F.col("start") + 1, 32), F.lit(0), lambda s, x: s + x)
-    return rows.select("doc_id", F.col("start").cast("long").alias("start"), hits.cast("long").alias("hits"))
+    seen = lambda flags, at: F.struct(at.cast("long").alias("start"), F.size(F.filter(F.slice(flags, at + 1, 32), lambda f: f == 1)).cast("long").alias("hits"))
+    best = T.let(T.word_flags(words, F.array(*map(F.lit, TERMS))), lambda flags: T.let(T.best_window(flags, 32), lambda at: seen(flags, at)))
+    return d.select("doc_id", best.alias("best")).select("doc_id", "best.start", "best.hits")
 
 
 @query(f"""WITH {DOCS}, w AS (SELECT doc_id, {words_sql("text")} AS ws FROM docs),

@@ -79,3 +79,23 @@ def test_tombstones_of_what_is_looked_up(spark):
     assert sorted(r.doc_id for r in view.of_terms(asked).collect()) == [0, 3, 4, 5, 6, 7, 8]
     more = I.union(view, I.build(spark.createDataFrame([(20, "v", "t", "lake")], DOCS), unique=True))
     assert sorted(r.doc_id for r in more.of_terms(asked).collect()) == [0, 3, 4, 5, 6, 7, 8, 20]
+
+
+def test_best_window_matches_brute_force(spark):
+    rng = random.Random(7)
+    rows = [[int(rng.random() < p) for _ in range(n)] for n, p in itertools.product((0, 1, 5, 6, 7, 40, 200), (0, 0.05, 0.4, 1))]
+
+    def first_best(flags, width=6):
+        starts = range(max(len(flags) - width, 0) + 1)
+        return max(starts, key=lambda i: (sum(flags[i : i + width]), -i)) if len(flags) >= width else 0
+
+    got = spark.createDataFrame(list(enumerate(rows)), "i int, f array<int>").select("i", T.best_window(F.col("f"), 6).alias("at")).collect()
+    assert {r.i: r["at"] for r in got} == {i: first_best(f) for i, f in enumerate(rows)}
+
+
+def test_snippets_work_their_words_out_once(spark):
+    """A long text's words are split, flagged and searched once each."""
+    text = " ".join(f"w{i}" for i in range(30_000)) + " deep-sea lake " + "end " * 40
+    began = time.time()
+    got = spark.createDataFrame([(text,)], "text string").select(T.snippet(F.col("text"), F.array(F.lit("lake"), F.lit("sea"))).alias("s")).first().s
+    assert time.time() - began < 20 and got.startswith("… w29970") and got.endswith("<mark>deep-sea</mark> <mark>lake</mark> …")
