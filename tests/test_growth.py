@@ -6,11 +6,14 @@ import random
 import re
 import time
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
 from quern.operators import index as I  # noqa: E741
 from quern.operators import rank as R
+from quern.operators import semantic
 from quern.plans import catalog
 from quern.plans.queryparse import parsed
 from quern.plans.search import Engine
@@ -99,3 +102,46 @@ def test_snippets_work_their_words_out_once(spark):
     began = time.time()
     got = spark.createDataFrame([(text,)], "text string").select(T.snippet(F.col("text"), F.array(F.lit("lake"), F.lit("sea"))).alias("s")).first().s
     assert time.time() - began < 20 and got.startswith("… w29970") and got.endswith("<mark>deep-sea</mark> <mark>lake</mark> …")
+
+
+def vector_rows(n, dim=6, seed=4):
+    rng = random.Random(seed)
+    rows = [(i, i % 3, [float(rng.randint(-2, 2)) for _ in range(dim)]) for i in range(n)]
+    return rows + [(n, 0, [1.0]), (n + 1, 0, [2.0, 1.0])]
+
+
+def test_nearest_in_small_tiles(spark, monkeypatch):
+    """However small tiles and batches are, ties and other lengths come out as in the plain form."""
+    monkeypatch.setattr(semantic, "TILE", 3)
+    monkeypatch.setattr(semantic, "MOST_PAIRS", 21)
+    rows = vector_rows(90)
+    vectors = spark.createDataFrame([(i, v) for i, _, v in rows], "doc_id long, embedding array<float>").repartition(3)
+    asked = [(i, v) for i, _, v in rows[:11]]
+    queries = spark.createDataFrame(asked, "query_id long, qv array<float>")
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b)) if len(a) == len(b) else 0.0
+    want = {(q, r, d) for q, a in asked for r, (s, d) in enumerate(sorted((-dot(a, v), i) for i, _, v in rows)[:7], 1)}
+    assert {(r.query_id, r["rank"], r.doc_id) for r in semantic.nearest(queries, vectors, 7).collect()} == want
+    batches = [pd.DataFrame({"doc_id": [i for i, _, _ in rows], "embedding": [np.array(v) for _, _, v in rows]})]
+    sent = list(semantic._nearest_in(iter(batches), np.arange(11), np.array([v for _, v in asked]), 7, 9, None))
+    assert max(map(len, sent)) <= 3 * (7 + semantic.SPARE)
+
+
+def test_pooled_in_small_tiles(spark, monkeypatch):
+    monkeypatch.setattr(semantic, "MOST_PAIRS", 50)
+    rows = vector_rows(60)
+    vectors = spark.createDataFrame([(i % 7, i, v) for i, _, v in rows], "doc_id long, passage_idx long, embedding array<float>").repartition(2)
+    queries = spark.createDataFrame([(i, v) for i, _, v in rows[:11]], "query_id long, qv array<float>")
+    shape = lambda df: {tuple(r) for r in df.select("query_id", "doc_id", "score", "passage_idx").collect()}
+    assert shape(semantic.pooled(queries, vectors)) == shape(semantic.max_pooled(semantic.similarities(queries, vectors)).where("score > 0"))
+
+
+def test_approximate_without_a_join_of_buckets(spark, monkeypatch):
+    monkeypatch.setattr(semantic, "TILE", 4)
+    monkeypatch.setattr(semantic, "MOST_PAIRS", 40)
+    rows = vector_rows(80)
+    vectors = spark.createDataFrame([(i // 2, i, v) for i, _, v in rows], "doc_id long, passage_idx long, embedding array<float>").repartition(3)
+    queries = spark.createDataFrame([(i, v) for i, _, v in rows[:9]], "query_id long, qv array<float>")
+    shape = lambda df: {(r.query_id, r["rank"], r.doc_id, round(r.score, 6)) for r in df.collect()}
+    got = semantic.approximate(queries, vectors, 6, 5, tables=3, bits=4)
+    assert shape(got) == shape(R.top(semantic.approximate_pooled(queries, vectors, 6, 3, 4), 5))
+    assert "bucket" not in plan(got)
