@@ -323,9 +323,10 @@ def update_applied(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     url = F.concat(F.lit("u"), F.col("doc_id").cast("string")).alias("url")
     old = I.build(d.where("doc_id % 5 <> 2").select("doc_id", url, F.lit("t").alias("title"), "text"), unique=True)
-    store = d.where("doc_id % 5 <> 1").select(url, F.lit("t").alias("title"), F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit(" more"))).otherwise(F.col("text")).alias("text"))
+    store = d.where("doc_id % 5 <> 1").select(url, F.lit("t").alias("title"), F.when(F.col("doc_id") % 7 == 0, F.concat(F.coalesce("text", F.lit("")), F.lit(" more"))).otherwise(F.col("text")).alias("text"))
     new, _ = I.apply_update(old, store, 1 << 40)
-    return new.documents.select("url", F.when(F.col("doc_id") >= 1 << 40, "new").otherwise("old").alias("part"))
+    kept = old.documents.select("doc_id", F.lit("old").alias("part"))
+    return new.documents.join(kept, "doc_id", "left").select("url", F.coalesce("part", F.lit("new")).alias("part"))
 
 
 def _ingested(spark, sf_dir):

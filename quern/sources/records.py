@@ -23,6 +23,7 @@ def parse_records(raw: DataFrame, value: str = "value") -> DataFrame:
     """Records of header blocks: keys in either case until the first blank line, then the text.
 
     ``image`` holds a url, a tab and its alt; a record without url is dropped; an empty title is the url.
+    ``form`` says how ``sinks.record_text`` wrote a text that would be changed here.
     """
     text = F.regexp_replace(F.col(value), "\r\n?", "\n")
     parts = F.split(text, "\n[ \t]*\n", 2)
@@ -32,7 +33,11 @@ def parse_records(raw: DataFrame, value: str = "value") -> DataFrame:
     url = F.coalesce(_header(head, "url"), F.lit(""))
     links = F.filter(F.coalesce(_headers(head, "links?"), none), lambda x: x != "")
     title = F.coalesce(F.nullif(_header(head, "title"), F.lit("")), url)
-    rows = raw.select(url.alias("url"), title.alias("title"), F.regexp_replace(body, r"^\s+|\s+$", "").alias("text"), links.alias("links"), F.filter(pictures, lambda p: p["url"] != "").alias("images"), dates.parse_published(F.coalesce(_header(head, "published"), F.lit(""))).alias("published"))
+    plain, form = F.regexp_replace(body, r"^\s+|\s+$", ""), F.coalesce(_header(head, "form"), F.lit(""))
+    quoted = (form == "quoted") & (F.length(plain) >= 2) & plain.startswith('"') & plain.endswith('"')
+    bare = F.replace(F.replace(F.substr(plain, F.lit(2), F.length(plain) - 2), F.lit("\\r"), F.lit("\r")), F.lit("\\b"), F.lit("\\"))
+    kept = F.when(quoted, bare).when((form == "none") & (plain == ""), F.lit(None)).otherwise(plain)
+    rows = raw.select(url.alias("url"), title.alias("title"), kept.alias("text"), links.alias("links"), F.filter(pictures, lambda p: p["url"] != "").alias("images"), dates.parse_published(F.coalesce(_header(head, "published"), F.lit(""))).alias("published"))
     return rows.where("url <> ''")
 
 

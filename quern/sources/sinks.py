@@ -16,10 +16,19 @@ def record_name(url: Column) -> Column:
 
 
 def record_text(record: str = "") -> Column:
-    """A record as its header block and text."""
+    """A record as its header block and text.
+
+    A text that readers would change, with white space at an end or carriage returns, is written in quotes under
+    ``form: quoted``, with \\b for a backslash and \\r for a return; a null text is ``form: none``.
+    """
     col = lambda c: F.col(f"{record}{c}")
     lines = F.concat(F.array(F.concat(F.lit("url: "), col("url")), F.concat(F.lit("title: "), F.regexp_replace(col("title"), "[\r\n]+", " ")), F.when(col("published") > 0, F.concat(F.lit("published: "), F.date_format(F.date_from_unix_date((col("published") / 86400).cast("int")), "yyyy-MM-dd")))), F.transform(col("images"), lambda x: F.concat(F.lit("image: "), x["url"], F.lit("\t"), x["alt"])), F.transform(col("links"), lambda x: F.concat(F.lit("link: "), x)))
-    return F.concat(F.array_join(F.filter(lines, lambda x: x.isNotNull()), "\n"), F.lit("\n\n"), col("text"))
+    text = col("text")
+    odd = text.rlike(r"^\s|\s$|\r")
+    form = F.when(text.isNull(), "form: none").when(odd, "form: quoted")
+    quoted = F.concat(F.lit('"'), F.replace(F.replace(text, F.lit("\\"), F.lit("\\b")), F.lit("\r"), F.lit("\\r")), F.lit('"'))
+    head = F.array_join(F.filter(F.concat(lines, F.array(form)), lambda x: x.isNotNull()), "\n")
+    return F.concat(head, F.lit("\n\n"), F.when(odd, quoted).otherwise(F.coalesce(text, F.lit(""))))
 
 
 def write_records(records: DataFrame, folder: str) -> None:

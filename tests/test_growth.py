@@ -145,3 +145,27 @@ def test_approximate_without_a_join_of_buckets(spark, monkeypatch):
     got = semantic.approximate(queries, vectors, 6, 5, tables=3, bits=4)
     assert shape(got) == shape(R.top(semantic.approximate_pooled(queries, vectors, 6, 3, 4), 5))
     assert "bucket" not in plan(got)
+
+
+ODD = [" lead", "end \n", "a\r\nb\rc", "\\r \\b\\\\ ", "", None, '"q" ', "\n\nx", "plain\n\ntext", "form: none", " "]
+
+
+def odd_documents(spark, path, first=0):
+    rows = [(first + i, t, "en", "src1", 1) for i, t in enumerate(ODD * 3)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
+    return rows
+
+
+def test_odd_texts_survive_the_record_format(spark, tmp_path):
+    import hashlib
+
+    rows = odd_documents(spark, tmp_path)
+    got = {r.url.rpartition("/")[2]: r.digest for r in catalog.QUERIES["record_round_trip"](spark, str(tmp_path)).collect()}
+    assert got == {str(i): None if t is None else hashlib.md5(t.encode()).hexdigest() for i, t, *_ in rows}
+
+
+def test_update_of_great_ids_and_null_texts(spark, tmp_path):
+    """Ids beyond the first new one are not taken for new, nor given twice."""
+    rows = odd_documents(spark, tmp_path, 5 << 40)
+    got = {r.url: r.part for r in catalog.QUERIES["update_applied"](spark, str(tmp_path)).collect()}
+    assert got == {f"u{i}": "new" if i % 5 == 2 or (i % 7 == 0 and i % 5 != 1) else "old" for i, *_ in rows if i % 5 != 1}
